@@ -16,7 +16,7 @@ WS[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 #: Positions in a block are kept in the low bits of the sort key of a window's minimum.
-POS_BITS = 20
+POS_BITS = 16
 BLOCK = 1 << POS_BITS
 
 
@@ -44,9 +44,9 @@ _POW: list[np.ndarray] = []
 
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, as many as n; those of a usual block are kept."""
+    """Powers of the base and of its inverse modulo 2**64, as many as n; those of a usual chunk are kept."""
     if not _POW:
-        _POW.extend((powers(_BASE, BLOCK + 1), powers(pow(_BASE, -1, 1 << 64), BLOCK + 1)))
+        _POW.extend((powers(_BASE, 1 << 21), powers(pow(_BASE, -1, 1 << 64), 1 << 21)))
     if n <= len(_POW[0]):
         return _POW[0][:n], _POW[1][:n]
     return powers(_BASE, n), powers(pow(_BASE, -1, 1 << 64), n)

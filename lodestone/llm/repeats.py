@@ -29,6 +29,7 @@ from lodestone.llm import chunks as C
 from lodestone.llm.arrays import U64
 
 _S_BITS = U64((1 << 48) - 1)
+_SHORT = U64((1 << 40) - 1)
 _SIGN = U64(1 << 63)
 NOTHING = np.zeros(0, dtype=U64)
 
@@ -115,32 +116,38 @@ def split_answers(n: int, who: np.ndarray, keep: np.ndarray, columns: list[np.nd
     return [A.pack(*(c[rows[a:b]] for c in columns)) if b > a else None for a, b in zip(ends, ends[1:])]
 
 
+def short(h: np.ndarray) -> np.ndarray:
+    """Enough of a hash to tell k-grams of one bucket apart nearly always."""
+    return h & _SHORT
+
+
 def shared(chunks: DataFrame, spec: Windows, n: int) -> DataFrame:
-    """Answers: the k-grams of the chunk's minimisers that two documents or more have, over all chunks."""
+    """Answers: the (short) k-grams of the chunk's minimisers that occur in two chunks, or in two documents of one.
+
+    This only keeps unique k-grams out of the next step, so one that gets through by chance does no harm.
+    """
 
     def emit(row):
         c = Chunk(row["docs"], spec)
-        o = np.lexsort((c.d, c.h))
-        h, d = c.h[o], c.d[o]
+        h = short(c.h)
+        o = np.lexsort((c.d, h))
+        h, d = h[o], c.d[o]
         first = A.starts_of_groups(h)
         last = np.concatenate((first[1:], [len(h)])) - 1
         h, many = h[first], (d[first] != d[last]) if len(h) else np.zeros(0, bool)
-        return C.split_by_bucket(row["chunk"], n, h, lambda at: A.pack(h[at[~many[at]]], h[at[many[at]]], d[first[at[~many[at]]]]))
+        return C.split_by_bucket(row["chunk"], n, h, lambda at: A.pack(h[at[~many[at]]], h[at[many[at]]]))
 
     def reduce(ids, blobs):
         parts = [A.unpack(b) for b in blobs]
-        size = np.array([len(p[0]) + len(p[1]) for p in parts])
-        who = np.repeat(np.arange(len(parts)), size)
-        h = np.concatenate([x for p in parts for x in p[:2]])
-        # a chunk that has a k-gram in many documents counts as two of its own
-        d = np.concatenate([x for i, p in enumerate(parts) for x in (p[2], np.full(len(p[1]), i, U64))])
+        who = np.repeat(np.arange(len(parts)), [len(p[0]) + len(p[1]) for p in parts])
+        h = np.concatenate([x for p in parts for x in p])
         many = np.concatenate([x for p in parts for x in (np.zeros(len(p[0]), bool), np.ones(len(p[1]), bool))])
-        o = np.lexsort((d, h))
-        h, d, who, many = h[o], d[o], who[o], many[o]
+        o = np.argsort(h)
+        h, who, many = h[o], who[o], many[o]
         first = A.starts_of_groups(h)
-        last = np.concatenate((first[1:], [len(h)])) - 1
-        hit = (d[first] != d[last]) | np.logical_or.reduceat(many, first)
-        return split_answers(len(parts), who, np.repeat(hit, last - first + 1), [h])
+        size = np.diff(np.concatenate((first, [len(h)])))
+        hit = (size > 1) | np.logical_or.reduceat(many, first)
+        return split_answers(len(parts), who, np.repeat(hit, size), [h])
 
     return C.answer(C.ask(chunks, emit), reduce)
 
@@ -160,7 +167,7 @@ def asked_stretches(chunks: DataFrame, spec: Windows, n: int, among: str | None
         c = Chunk(row["docs"], spec)
         h, s, d, p = c.h, c.s, c.d, c.p
         if among:
-            keep = member(h, np.sort(np.concatenate([A.unpack(b)[0] for b in row[among] or ()] or [NOTHING])))
+            keep = member(short(h), np.sort(np.concatenate([A.unpack(b)[0] for b in row[among] or ()] or [NOTHING])))
             h, s, d, p = h[keep], s[keep], d[keep], p[keep]
         cols = least(h, s, d, p)
         return C.split_by_bucket(row["chunk"], n, cols[0], lambda at: A.pack(*(x[at] for x in cols)))
@@ -189,19 +196,28 @@ def settle_stretches(ids: list, blobs: list, old: tuple[np.ndarray, np.ndarray]
     return out, np.unique(h[unclear & (who == len(blobs))])
 
 
-def unclear(blobs) -> np.ndarray:
-    """The k-grams whose windows must be compared, of answers of settle_stretches()."""
-    return np.unique(np.concatenate([c[0][c[4] == 1] for c in map(A.unpack, blobs or ())] or [NOTHING]))
+def settled(c: Chunk, answers) -> tuple[np.ndarray, np.ndarray]:
+    """Of the chunk's minimisers: those whose whole stretch occurs earlier, and the others whose windows must be compared.
+
+    A window's first occurrence is never in a stretch that occurs earlier, so the settled ones need not be compared."""
+    got = [A.unpack(b) for b in answers or ()]
+    answered = np.sort(np.concatenate([g[0] for g in got] or [NOTHING]))
+    o = np.sort(c.h)
+    at = np.flatnonzero(member(c.h, answered) | member(c.h, o[1:][o[1:] == o[:-1]]))
+    hit = np.zeros(len(c.h), dtype=bool)
+    hit[at[repeated(c.h[at], c.s[at], c.d[at], c.p[at], [g[:4] for g in got])]] = True
+    vague = np.unique(np.concatenate([g[0][g[4] == 1] for g in got] or [NOTHING]))
+    return hit, member(c.h, vague) & ~hit
 
 
 def asked_windows(chunks: DataFrame, spec: Windows, n: int, column: str, old: str | None = None) -> DataFrame:
-    """Each chunk's windows below unclear k-grams with their least (document, start). old: a boolean column, true for chunks that come before all others."""
+    """Each chunk's windows in question with their least (document, start). old: a boolean column, true for chunks that come before all others."""
 
     def emit(row):
         if not row[column]:
             return iter(())
         c = Chunk(row["docs"], spec)
-        h, w, d, p, _, _ = c.windows(member(c.h, unclear(row[column])))
+        h, w, d, p, _, _ = c.windows(settled(c, row[column])[1])
         if old and row[old]:
             d, p = np.zeros(len(d), U64), np.zeros(len(p), U64)
         cols = least(h, w, d, p)
@@ -232,15 +248,7 @@ def repeated(h, s, d, p, more: list[list[np.ndarray]]) -> np.ndarray:
 def covered(row: dict, spec: Windows, stretches: str, windows: str) -> tuple[Chunk, list[np.ndarray | None]]:
     """The chunk, and for each document which tokens lie in a window that occurs earlier (None: no token)."""
     c = Chunk(row["docs"], spec)
-    got = [A.unpack(b) for b in row[stretches] or ()]
-    vague = unclear(row[stretches])
-    answered = np.sort(np.concatenate([g[0] for g in got] or [NOTHING]))
-    sorted_h = np.sort(c.h)
-    twice = sorted_h[1:][sorted_h[1:] == sorted_h[:-1]]
-    open_ = member(c.h, vague)
-    at = np.flatnonzero(~open_ & (member(c.h, answered) | member(c.h, twice)))
-    known = [[x[g[4] == 0] for x in g[:4]] for g in got]
-    hit = at[repeated(c.h[at], c.s[at], c.d[at], c.p[at], known)]
+    hit, open_ = settled(c, row[stretches])
     doc, start, count = c.doc[hit], c.start[hit], c.count[hit]
     h, w, d, p, wdoc, wstart = c.windows(open_)
     hit = repeated(h, w, d, p, [A.unpack(b) for b in row[windows] or ()])

@@ -106,7 +106,7 @@ class FingerprintIndex:
             for i in np.unique(c[at]).tolist():
                 own = np.unique(h[at[c[at] == i]])
                 zero = np.zeros(len(own), U64)
-                rows.append((i, A.pack(own, zero, zero, zero, zero + U64(1))))
+                rows.append((i, A.pack(own, ~zero, zero, zero, zero + U64(1))))  # no stretch has that hash
             return pd.DataFrame({"chunk": np.array([r[0] for r in rows], dtype="int64"), "blob": [r[1] for r in rows]})
 
         old = self.runs[0].rows
