@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.llm import simhash, substring_dedup, suffix_dedup
+from lodestone.llm import mixing, packing, simhash, substring_dedup, suffix_dedup
 
-_MODULES = [simhash, substring_dedup, suffix_dedup]
+_MODULES = [simhash, mixing, packing, substring_dedup, suffix_dedup]
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
