@@ -9,6 +9,7 @@ exchange, so a lost executor's part is computed again from the chunks, which are
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,6 +40,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect garbage, upon which Spark's cleaner removes the shuffle files of plans that nothing refers
+    to any more, such as those before a checkpoint. Otherwise they stay until the driver's heap happens to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -50,7 +58,7 @@ def dump(ids: list, texts: list) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as w:
         w.write_table(table)
-    return zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+    return zstandard.ZstdCompressor(level=6).compress(sink.getvalue())
 
 
 def load(blob: bytes) -> tuple[list, list]:
@@ -92,9 +100,12 @@ def make_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     aqe = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan's checkpoint forgets how it is partitioned
     try:
-        return checkpoint(rows)
+        out = checkpoint(rows)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    del rows
+    release(spark)
+    return out
 
 
 def split_by_bucket(chunk: int, n: int, key: np.ndarray, pack_rows: Callable[[np.ndarray], bytes]) -> Iterator[pa.RecordBatch]:

@@ -93,7 +93,8 @@ class Chunk:
             out.append((g["h"][mine][owner], A.window_hashes(g["r"], place, self.spec.window, self.spec.k), self.order[doc], start.astype(U64) if self.spec.within else np.zeros(len(start), U64), doc, start))
         if not out:
             return (NOTHING,) * 4 + (np.zeros(0, np.int64),) * 2
-        return tuple(np.concatenate(c) for c in zip(*out))
+        h, w, *rest = (np.concatenate(c) for c in zip(*out))
+        return h, w & _S_BITS, *rest
 
 
 def member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
