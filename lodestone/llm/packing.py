@@ -18,8 +18,8 @@ from lodestone.llm.chunks import checkpoint
 #: Ends every document.
 END_ID = 1
 SEQUENCE = 4096
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 400_000
+#: Pieces whose ids a worker keeps.
+KEPT_WORDS = 1_000_000
 #: Characters of a text that are split into words at once.
 SLICE = 1 << 20
 #: White space for str.split() but not for the tokenizer's pattern.
@@ -36,20 +36,49 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: ASCII and Latin letters that have one form only. In a text of these the tokenizer's pieces are found by re.
+_PLAIN = re.compile("[\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
+_LETTER = "a-z\u00df-\u00f6\u00f8-\u017f"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\\s{_LETTER}0-9]+")
+
+
 class Ids:
-    """Ids of texts as little-endian 32-bit values. The tokenizer never joins anything across white space (its
-    pattern drops it), so words are encoded one by one and kept."""
+    """Ids of texts as little-endian 32-bit values.
+
+    The tokenizer cuts a text into pieces, never across white space, and encodes each by itself, so the ids of a
+    piece are looked up once and kept. Texts of plain Latin letters are cut here (checked against the tokenizer in
+    the tests); in others the words between white space are given to it as they are.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            self.kept[w] = np.array(e.ids, dtype="<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _at_once(self, pieces: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(pieces):
+            return self._one_by_one(pieces)
+        data, at = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *at], at)]
+
+    def _look_up(self, parts: list[str], kept: dict[str, bytes], learn) -> bytes:
+        if new := list(set(parts).difference(kept)):
+            if len(kept) > KEPT_WORDS:
+                kept.clear()
+                new = list(set(parts))
+            kept.update(zip(new, learn(new)))
+        return b"".join(map(kept.__getitem__, parts))
 
     def slices(self, text: str) -> Iterator[str]:
         at = 0
@@ -62,15 +91,11 @@ class Ids:
         yield text[at:] if at else text
 
     def of(self, text: str) -> bytes:
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return self._look_up(_PIECE.findall(text.lower()), self.pieces, self._at_once)
         if _ODD.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = text.split()
-        if new := list(set(words).difference(self.kept)):
-            if len(self.kept) > KEPT_WORDS:
-                self.kept.clear()
-                new = list(set(words))
-            self._learn(new)
-        return b"".join(map(self.kept.__getitem__, words))
+        return self._look_up(text.split(), self.words, self._one_by_one)
 
 
 _IDS: dict[str, Ids] = {}
