@@ -67,7 +67,7 @@ def load(blob: bytes) -> tuple[list, list]:
     return table.column("id").to_pylist(), table.column("text").to_pylist()
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     base, seq = TaskContext.get().partitionId() << 32, 0
@@ -83,7 +83,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-            if ids and size + len(t or b"") > CHUNK_BYTES:
+            if ids and size + len(t or b"") > most:
                 yield out()
             ids.append(i)
             texts.append(t)
@@ -92,11 +92,11 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def make_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def make_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = CHUNK_BYTES) -> DataFrame:
     """(chunk, docs): all documents, hashed by chunk and checkpointed, so that later joins on chunk don't move them again."""
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = plain.mapInArrow(_chunked, CHUNK_SCHEMA).repartition(partitions(spark), "chunk")
+    rows = plain.mapInArrow(lambda batches: _chunked(batches, most), CHUNK_SCHEMA).repartition(partitions(spark), "chunk")
     aqe = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan's checkpoint forgets how it is partitioned
     try:

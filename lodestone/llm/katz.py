@@ -21,6 +21,10 @@ from lodestone.llm import arrays as A
 from lodestone.llm import chunks as C
 from lodestone.llm.arrays import U64
 
+#: Bytes of text in a chunk: the larger, the fewer distinct words and pairs are asked for all told.
+CHUNK_BYTES = 4 << 20
+#: Of a key a bucket gets the leading 48 bits, which the bucket's number adds to.
+_SHORT = U64(16)
 #: Counts above this are not discounted.
 GT_MAX = 5
 _END = A.mix(np.array([0x5EED], dtype=U64))[0]
@@ -92,15 +96,6 @@ class Text:
         return np.bincount(self.pair[self.in_train], minlength=len(self.pairs)).astype(U64)
 
 
-def in_buckets(keys: np.ndarray, n: int) -> list[np.ndarray]:
-    """The places of keys in each bucket, as split_by_bucket() deals them."""
-    out: list[np.ndarray] = []
-    C_rows = C.split_by_bucket(0, n, keys, lambda at: out.append(at) or b"")
-    for _ in C_rows:
-        pass
-    return out
-
-
 def told(keys: np.ndarray, n: int, buckets: list[int], blobs: list[bytes], columns: int) -> list[np.ndarray]:
     """Puts the answers of buckets, each aligned with what this chunk asked it, at the places of the keys."""
     key_bucket = ((keys * U64(0x9E3779B97F4A7C15)) >> U64(32)) % U64(n)
@@ -163,13 +158,13 @@ def katz_scores(docs: DataFrame, training: Callable[[list], np.ndarray] = defaul
     """
     spark = docs.sparkSession
     n = C.partitions(spark)
-    chunks = C.make_chunks(docs, id_col, text_col)
+    chunks = C.make_chunks(docs, id_col, text_col, CHUNK_BYTES)
 
     # 1. words: c(w), and with it N, V and the counts of counts
     def ask_words(row):
         t = Text(row["docs"], training)
         counts, lefts = t.word_counts(), t.left_counts()
-        return C.split_by_bucket(row["chunk"], n, t.words, lambda at: A.pack(t.words[at], counts[at], lefts[at]))
+        return C.split_by_bucket(row["chunk"], n, t.words, lambda at: A.pack(t.words[at] >> _SHORT, counts[at], lefts[at]))
 
     def count_words(cols, who):
         row, total, _ = _sums(cols[0], cols[1])
@@ -202,7 +197,7 @@ def katz_scores(docs: DataFrame, training: Callable[[list], np.ndarray] = defaul
     def ask_pairs(row):
         t = Text(row["docs"], training)
         counts = t.pair_counts()
-        return C.split_by_bucket(row["chunk"], n, t.pairs, lambda at: A.pack(t.pairs[at], counts[at]))
+        return C.split_by_bucket(row["chunk"], n, t.pairs, lambda at: A.pack(t.pairs[at] >> _SHORT, counts[at]))
 
     def count_pairs(cols, who):
         row, total, first = _sums(*cols)
@@ -230,7 +225,7 @@ def katz_scores(docs: DataFrame, training: Callable[[list], np.ndarray] = defaul
         mass = np.bincount(v, discounted(c, d2) / np.maximum(left[v], 1), minlength=m)
         alone = np.bincount(v, unigram(count)[w], minlength=m)
         heads = np.unique(t.left)
-        return C.split_by_bucket(row["chunk"], n, t.words[heads], lambda at: A.pack(t.words[heads[at]], _bits(mass[heads[at]]), _bits(alone[heads[at]])))
+        return C.split_by_bucket(row["chunk"], n, t.words[heads], lambda at: A.pack(t.words[heads[at]] >> _SHORT, _bits(mass[heads[at]]), _bits(alone[heads[at]])))
 
     def weigh(cols, who):
         o = np.argsort(cols[0], kind="stable")
