@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.llm import katz, mixing, packing, simhash, substring_dedup, suffix_dedup
+from lodestone.llm import katz, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, toxicity
 
-_MODULES = [simhash, katz, mixing, packing, substring_dedup, suffix_dedup]
+_MODULES = [simhash, quality, toxicity, katz, mixing, packing, substring_dedup, suffix_dedup]
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
