@@ -51,20 +51,28 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def dump(ids: list, texts: list) -> bytes:
-    """Documents as one compressed value. texts: bytes or None."""
-    head = pa.array([None if x is None else int(x) for x in ids], pa.int64())
-    table = pa.table({"id": head, "text": pa.array(texts, pa.binary())})
+def dump(ids: list, texts: list, rest: pa.Array | None = None) -> bytes:
+    """Documents as one compressed value. texts: bytes or None; rest: what else their rows have."""
+    columns = {"id": pa.array([None if x is None else int(x) for x in ids], pa.int64()), "text": pa.array(texts, pa.binary())}
+    table = pa.table(columns | ({} if rest is None else {"rest": rest}))
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as w:
         w.write_table(table)
     return zstandard.ZstdCompressor(level=6).compress(sink.getvalue())
 
 
+def table(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(bytes(blob))).read_all()
+
+
 def load(blob: bytes) -> tuple[list, list]:
     """Ids and texts (bytes, or None) of a chunk."""
-    table = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(bytes(blob))).read_all()
-    return table.column("id").to_pylist(), table.column("text").to_pylist()
+    t = table(blob)
+    return t.column("id").to_pylist(), t.column("text").to_pylist()
+
+
+def load_rest(blob: bytes) -> pa.Array:
+    return table(blob).column("rest").combine_chunks()
 
 
 def _chunked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -73,29 +81,39 @@ def _chunked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
     base, seq = TaskContext.get().partitionId() << 32, 0
     ids: list = []
     texts: list = []
+    rest: list = []
     size = 0
 
     def out():
-        nonlocal ids, texts, size, seq
-        batch = pa.record_batch([pa.array([base + seq], pa.int64()), pa.array([dump(ids, texts)], pa.binary())], names=["chunk", "docs"])
-        ids, texts, size, seq = [], [], 0, seq + 1
+        nonlocal ids, texts, rest, size, seq
+        blob = dump(ids, texts, pa.concat_arrays(rest) if rest else None)
+        batch = pa.record_batch([pa.array([base + seq], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "docs"])
+        ids, texts, rest, size, seq = [], [], [], 0, seq + 1
         return batch
 
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+        first = 0
+        for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist())):
             if ids and size + len(t or b"") > most:
+                if b.num_columns > 2 and k > first:
+                    rest.append(b.column(2).slice(first, k - first))
+                first = k
                 yield out()
             ids.append(i)
             texts.append(t)
             size += len(t or b"") + 16
+        if b.num_columns > 2:
+            rest.append(b.column(2).slice(first))
     if ids:
         yield out()
 
 
-def make_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = CHUNK_BYTES) -> DataFrame:
-    """(chunk, docs): all documents, hashed by chunk and checkpointed, so that later joins on chunk don't move them again."""
+def make_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = CHUNK_BYTES, rest: list[str] | None = None) -> DataFrame:
+    """(chunk, docs): all documents, hashed by chunk and checkpointed, so that later joins on chunk don't move them again.
+
+    rest: columns that travel along, for load_rest()."""
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*map(F.col, rest)).alias("rest")] if rest else []))
     rows = plain.mapInArrow(lambda batches: _chunked(batches, most), CHUNK_SCHEMA).repartition(partitions(spark), "chunk")
     aqe = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan's checkpoint forgets how it is partitioned

@@ -273,6 +273,6 @@ def finish(chunks: DataFrame, schema: pa.Schema, ddl: str, make: Callable[[dict]
         for b in batches:
             for i in range(b.num_rows):
                 cols = make(b.slice(i, 1).to_pylist()[0])
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return chunks.mapInArrow(run, ddl)

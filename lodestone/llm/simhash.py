@@ -11,6 +11,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestone.llm.arrays import U64
 from lodestone.llm.chunks import checkpoint
@@ -162,6 +164,26 @@ def components(nodes: DataFrame, radius: int) -> DataFrame:
     return named.join(names, "c").select("fp", "component")
 
 
+def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of simhash_components(): the one with the smallest id, unchanged. Of rows that repeat
+    it one stays; of rows with null ids one for each fingerprint that no id has or links to."""
+    fps = checkpoint(fingerprints(docs, words, id_col, text_col))
+    comps = checkpoint(components(checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))), radius))
+    stay = comps.select(F.col("component").alias("_stays")).where("_stays is not null").distinct()
+    found = docs.join(stay, F.col(id_col).cast("long") == F.col("_stays"), "left_semi").dropDuplicates([id_col])
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("fp", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t, words) for t in b.column(1).cast(pa.binary()).to_pylist()], dtype=U64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field("row").type), pa.array(fps)], schema=arrow)
+
+    nameless = docs.where(F.col(id_col).cast("long").isNull()).select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    nameless = nameless.join(comps.where("component is null"), "fp", "left_semi").dropDuplicates(["fp"]).select("row.*")
+    return found.unionByName(nameless)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of documents, shingles of 4 words, links of at most 4 bits."""
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -7,7 +7,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestone.llm import chunks as C
 from lodestone.llm import repeats as R
@@ -15,6 +17,22 @@ from lodestone.llm import repeats as R
 _FIELDS = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
 
 
+def _ordered(docs: DataFrame, threshold: int, id_col: str, text_col: str, rest: list[str] | None) -> tuple[R.Windows, DataFrame]:
+    """The chunks of docs with what the passes found about them."""
+    spark = docs.sparkSession
+    n = C.partitions(spark)
+    spec = R.Windows("bytes", threshold, min(24, threshold), False)
+    chunks = C.make_chunks(docs, id_col, text_col, rest=rest)
+    first = C.with_answers(chunks, R.shared(chunks, spec, n), "among")
+    second = C.checkpoint(C.answer(R.asked_stretches(first, spec, n, "among"), lambda i, b: R.settle_stretches(i, b)[0]))
+    del first
+    C.release(spark)
+    both = C.with_answers(chunks, second, "stretches")
+    third = C.answer(R.asked_windows(both, spec, n, "stretches"), R.settle_windows)
+    both = C.with_answers(both, third, "windows")
+    return spec, both
+
+
 def suffix_dedup(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True) -> DataFrame:
     """Cuts every byte covered by a string of ``threshold`` bytes that also starts in a document with a smaller id.
 
@@ -27,17 +45,7 @@ def suffix_dedup(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
     (the remaining bytes; a cut may fall inside a character). A null text counts as empty. A null id comes after all
     others, and rows with equal ids take nothing from each other. Other columns of docs are not looked at.
     """
-    spark = docs.sparkSession
-    n = C.partitions(spark)
-    spec = R.Windows("bytes", threshold, min(24, threshold), False)
-    chunks = C.make_chunks(docs, id_col, text_col)
-    first = C.with_answers(chunks, R.shared(chunks, spec, n), "among")
-    second = C.checkpoint(C.answer(R.asked_stretches(first, spec, n, "among"), lambda i, b: R.settle_stretches(i, b)[0]))
-    del first
-    C.release(spark)
-    both = C.with_answers(chunks, second, "stretches")
-    third = C.answer(R.asked_windows(both, spec, n, "stretches"), R.settle_windows)
-    both = C.with_answers(both, third, "windows")
+    spec, both = _ordered(docs, threshold, id_col, text_col, None)
     fields = _FIELDS if with_kept else _FIELDS[:-1]
 
     def make(row):
@@ -57,6 +65,29 @@ def suffix_dedup(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", t
     return R.finish(both, pa.schema(fields), ddl, make)
 
 
+def with_repeats_cut(docs: DataFrame, threshold: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, row for row and with the same columns, the texts without what suffix_dedup() cuts. What is left of a
+    character that a cut divides goes too. Null texts stay null; a column n_chars beside the text is set anew."""
+    rest = [c for c in docs.columns if c != text_col]
+    spec, both = _ordered(docs, threshold, id_col, text_col, rest)
+    schema = to_arrow_schema(docs.select(F.struct(*map(F.col, rest)).alias("rest"), F.col(text_col).cast("string").alias("text")).schema)
+
+    def make(row):
+        c, covers = R.covered(row, spec, "stretches", "windows")
+        texts = []
+        for text, cover in zip(c.texts, covers):
+            if cover is not None:
+                text = np.frombuffer(text, np.uint8)[~cover].tobytes()
+            texts.append(None if text is None else text.decode("utf-8", "ignore"))
+        return [C.load_rest(row["docs"]).cast(schema.field("rest").type), texts]
+
+    ddl = T.StructType([T.StructField("rest", T.StructType([docs.schema[c] for c in rest])), T.StructField("text", T.StringType())])
+    out = R.finish(both, schema, ddl, make)
+    number = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in rest else None
+    columns = {text_col: F.col("text")} | ({"n_chars": number} if "n_chars" in rest else {})
+    return out.select(*(columns.get(c, F.col("rest")[c]).alias(c) for c in docs.columns))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of documents, strings of 50 bytes."""
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_kept=False)
