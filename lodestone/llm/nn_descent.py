@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.chunks import checkpoint, partitions
+from lodestone.llm.chunks import checkpoint, partitions, release
 
 #: Neighbours that a node keeps; as many of the nodes that have it as a neighbour join them in the graph.
 NEIGHBOURS = 24
@@ -209,6 +209,7 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, starts: tuple
         got = todo.join(adjacent, "id").select("qid", "q", "others").mapInPandas(visit, "qid long, ids array<long>, sims array<float>")
         more = got.groupBy("qid").agg(F.collect_list(F.struct("ids", "sims")).alias("more"))
         state = checkpoint(chosen.join(more, "qid", "left").mapInPandas(next_state, state_ddl))
+        release(state.sparkSession)
     return state.select("qid", F.col("ids").alias("found"))
 
 
@@ -251,6 +252,7 @@ def nearest(df: DataFrame, query: F.Column, k: int = 20, id_col: str = "vec_id",
     if total > LEAF:
         for _ in range(ROUNDS):
             graph = checkpoint(improve(graph, nodes, NEIGHBOURS))
+            release(spark)
 
     def query_vectors(batches):
         for pdf in batches:
