@@ -15,14 +15,14 @@ from lodestone.llm.chunks import checkpoint, partitions, release
 NEIGHBOURS = 24
 #: Vectors in a leaf of the trees that the graph starts from.
 LEAF = 320
-TREES = 4
-ROUNDS = 3
+TREES = 6
+ROUNDS = 4
 #: Vectors that the trees' splits are learnt from and that searches may start at, at most.
 SAMPLE = 2048
 #: Nodes that a search keeps, and that it visits in a step.
-BEAM = 256
-WIDTH = 48
-STEPS = 7
+BEAM = 384
+WIDTH = 64
+STEPS = 9
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
