@@ -67,7 +67,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 COMMITS_SQL = """commits AS (
   SELECT o_orderkey AS sha, 'dev' || CAST(c_nationkey AS VARCHAR) || '@example.org' AS author,
-         CAST(epoch(o_orderdate) AS BIGINT) AS ts, 'f' || CAST(l_partkey % 400 AS VARCHAR) AS file
+         CAST(floor(epoch(o_orderdate)) AS BIGINT) AS ts, 'f' || CAST(l_partkey % 400 AS VARCHAR) AS file
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
 

@@ -177,7 +177,7 @@ def bus_factor(spark, sf_dir):
     return out.withColumn("top", F.round("top", 8)).withColumn("second", F.round("second", 8))
 
 
-@query("""WITH e AS (SELECT event_type AS repo, 'u' || CAST(user_id AS VARCHAR) AS file, CAST(epoch(ts) AS BIGINT) AS ts FROM events),
+@query("""WITH e AS (SELECT event_type AS repo, 'u' || CAST(user_id AS VARCHAR) AS file, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events),
 p AS (SELECT least(a.repo, b.repo) AS source_repo, CASE WHEN a.repo < b.repo THEN a.file ELSE b.file END AS source_file, greatest(a.repo, b.repo) AS target_repo,
       CASE WHEN a.repo < b.repo THEN b.file ELSE a.file END AS target_file, b.ts AS ts
       FROM e a JOIN e b ON b.ts - a.ts BETWEEN 0 AND 3600 AND a.repo <> b.repo AND (a.ts < b.ts OR a.repo < b.repo))
@@ -293,9 +293,9 @@ def ancestor_walk(spark, sf_dir):
     return graph.ancestors(h.unionByName(n.select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))))
 
 
-@query("SELECT file, name, kind, CASE WHEN parent IS NULL THEN 0.85 ELSE 0.7 END AS confidence FROM entities WHERE name NOT IN (SELECT CASE WHEN contains(name, '::') THEN string_split(name, '::')[2] ELSE name END FROM refs WHERE file LIKE '%/p.py' AND kind = 'import') AND qualified_name NOT IN (SELECT name FROM refs WHERE file LIKE '%/p.py' AND kind = 'import')", needs=("entities", "refs"))
+@query("SELECT file, name, kind, CASE WHEN parent IS NULL THEN 0.85 ELSE 0.7 END AS confidence FROM entities WHERE name NOT IN (SELECT CASE WHEN contains(name, '::') THEN string_split(name, '::')[2] ELSE name END FROM refs WHERE file = 'src/5_low/p.py' AND kind = 'import' AND caller IS NULL) AND qualified_name NOT IN (SELECT name FROM refs WHERE file = 'src/5_low/p.py' AND kind = 'import' AND caller IS NULL)", needs=("entities", "refs"))
 def dead_code_tiers(spark, sf_dir):
-    return code.dead_code(B.entities(spark, sf_dir), B.refs(spark, sf_dir).where("file like '%/p.py' and kind = 'import'"))
+    return code.dead_code(B.entities(spark, sf_dir), B.refs(spark, sf_dir).where("file = 'src/5_low/p.py' and kind = 'import' and caller is null"))
 
 
 @query("""WITH d AS (SELECT qualified_name AS name, min(file) AS target FROM entities GROUP BY 1 HAVING count(*) = 1)
