@@ -315,10 +315,11 @@ def test_automaton():
 def test_classifiers(spark, awkward, nothing):
     df, rows = awkward
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    for make, label in ((quality.quality_scores, "quality"), (toxicity.toxicity_scores, "toxic")):
+    # 18 of 279 toxic labels of English texts here are on texts without any toxic word, which bounds the second at about 0.97
+    for make, label, least in ((quality.quality_scores, "quality", 0.97), (toxicity.toxicity_scores, "toxic", 0.95)):
         got = make(docs, labels).where("held_out").join(labels, "doc_id").select("score", label).toPandas()
         y, s = got[label].to_numpy(bool), got["score"].to_numpy()
-        assert ((s[y][:, None] > s[~y][None, :]) + (s[y][:, None] == s[~y][None, :]) / 2).mean() > 0.97
+        assert ((s[y][:, None] > s[~y][None, :]) + (s[y][:, None] == s[~y][None, :]) / 2).mean() > least
         got = make(df, labels).collect()
         assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
         assert all(r["held_out"] == (zlib.crc32(b"" if r["doc_id"] is None else str(r["doc_id"]).encode()) % 5 == 0) for r in got)
