@@ -107,3 +107,68 @@ def is_exported(name: Column, visibility: Column, lang: Column) -> Column:
     said = F.lower(visibility)
     by_rule = F.when(lang == "go", name.rlike("^[A-Z]")).when(lang == "python", ~name.startswith("_")).when(lang == "rust", F.lit(False)).otherwise(F.lit(True))
     return F.when(said.isNull(), by_rule).otherwise(said.isin("public", "export", "pub"))
+
+
+#: Extensions of files that hold no source. Fixed values.
+NON_SOURCE = ["md", "mdx", "json", "yaml", "yml", "toml", "lock", "txt", "html", "css", "scss", "svg", "xml", "csv", "sql"]
+
+
+def is_non_source(file: Column) -> Column:
+    """Files outside the code base, data, documents and styles."""
+    return file.startswith("<external>") | file.startswith("external:") | F.lower(F.regexp_extract(file, r"\.([^./]+)$", 1)).isin(NON_SOURCE)
+
+
+def normal_body(text: Column) -> Column:
+    """A body without blank lines, lines that are only a comment, triple-quoted strings, and white space at line ends."""
+    plain = F.regexp_replace(text, r"(?s)\"\"\".*?\"\"\"|'''.*?'''", "")
+    kept = F.filter(F.split(plain, "\n"), lambda x: ~x.rlike(r"^\s*(?:$|#|//|/\*|\*|--)"))
+    return F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, r"\s+$", "")), "\n")
+
+
+def sql_tables(text: Column) -> Column:
+    """The tables that SQL in a text reads or writes, in order, each once, lower case; bodies of CREATE FUNCTION don't count."""
+    plain = F.regexp_replace(text, r"(?is)create\s+(?:or\s+replace\s+)?function\b.*?\$(\w*)\$.*?\$\1\$", "")
+    found = F.regexp_extract_all(plain, F.lit(r"(?i)\b(?:from|join|into|update|table(?:\s+if\s+(?:not\s+)?exists)?)\s+[`\x22]?([A-Za-z_][\w.]*)"), F.lit(1))
+    return F.array_distinct(F.filter(F.transform(found, F.lower), lambda t: ~t.isin("select", "set", "if", "only", "lateral")))
+
+
+#: How programs look an environment variable up; the first group is its name. Fixed values.
+ENV_LOOKUPS = r"(?:os\.environ(?:\.get)?[\[(]|os\.getenv\(|process\.env\.|process\.env\[|import\.meta\.env\.|os\.Getenv\(|os\.LookupEnv\(|System\.getenv\(|ENV\[|ENV\.fetch\(|env::var\(|std::env::var\(|getenv\(|env\(|Environment\.GetEnvironmentVariable\()\s*['\x22]?([A-Za-z_]\w*)"
+
+
+def env_names(text: Column) -> Column:
+    """The environment variables that a text looks up, upper case, each once."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(ENV_LOOKUPS), F.lit(1)), F.upper))
+
+
+#: Words of a question that name nothing. Fixed values.
+STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "do", "does", "for", "from", "has", "have", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "when", "where", "which", "who", "why", "will", "with"]
+
+
+def question_words(text: Column) -> Column:
+    """The words of a question in lower case, 3 characters at least, without stop words, each once."""
+    words = F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)), F.lower)
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(STOP_WORDS)))
+
+
+def glob_regex(glob: str) -> str:
+    """A glob as a regular expression: ``**`` crosses slashes, ``*`` and ``?`` don't, {a,b} are alternatives."""
+    out, i, depth = "", 0, 0
+    while i < len(glob):
+        c = glob[i]
+        if glob.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 2
+        elif glob.startswith("**", i):
+            out, i = out + ".*", i + 1
+        elif c in "*?":
+            out += "[^/]*" if c == "*" else "[^/]"
+        elif c == "{":
+            out, depth = out + "(?:", depth + 1
+        elif c == "}" and depth:
+            out, depth = out + ")", depth - 1
+        elif c == "," and depth:
+            out += "|"
+        else:
+            out += "\\" + c if not c.isalnum() and c not in "_/-" else c
+        i += 1
+    return "^" + out + "$"
