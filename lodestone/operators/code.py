@@ -106,6 +106,13 @@ def unreferenced(entities: DataFrame, refs: DataFrame) -> DataFrame:
     return left.join(used, F.col("qualified_name") == F.col("key"), "left_anti")
 
 
+def unreferenced_files(entities: DataFrame, refs: DataFrame) -> DataFrame:
+    """(file, confidence): files none of whose definitions any reference names, sure at 1."""
+    used = refs.select("name").distinct().select(F.explode(alias_keys(F.col("name"))).alias("key")).distinct()
+    named = entities.select("file", F.explode(F.array_compact(F.array("name", "qualified_name"))).alias("key")).join(used, "key", "left_semi")
+    return entities.select("file").distinct().join(named.select("file").distinct(), "file", "left_anti").withColumn("confidence", F.lit(1.0))
+
+
 def dead_code(entities: DataFrame, refs: DataFrame, entry_files: DataFrame | None = None, least: float = 0.7) -> DataFrame:
     """(file, name, kind, confidence): 0.85 for exported definitions without reference, 0.7 for internal ones, 0.5 where a
     name looks dynamically found; files that a framework calls (entry_files) are left out."""

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.engine import Engine, cluster_summary
 from lodestone.functions import names
-from lodestone.operators import code, graph, history, text
+from lodestone.operators import code, diff, graph, history, resolve, text
 from lodestone.plans import bindings as B
 from lodestone.sources import config
 
@@ -419,3 +420,171 @@ def json_keys(spark, sf_dir):
 @query("SELECT page_id, CAST(len(regexp_extract_all(html, '(?is)<script[^>]*>')) AS INTEGER) AS blocks FROM pages")
 def script_blocks(spark, sf_dir):
     return config.script_blocks(B.table(spark, sf_dir, "pages"))
+
+
+@query("SELECT file, name, kind, parent, line_start, line_end, qualified_name, body_hash FROM entities WHERE file = 'src/brand_2.py' AND parent = 'ECONOMY'", needs=("entities",))
+def children_of(spark, sf_dir):
+    return code.file_symbols(B.entities(spark, sf_dir), "src/brand_2.py", None, "ECONOMY")
+
+
+@query("""WITH e AS (SELECT DISTINCT regexp_extract(name, '([^:.]*)$', 1) AS name, parent, file FROM entities WHERE parent IS NOT NULL)
+SELECT name, parent, file, other_parent, other_file FROM (SELECT a.name, a.parent, a.file, b.parent AS other_parent, b.file AS other_file,
+row_number() OVER (PARTITION BY a.name, a.parent, a.file ORDER BY b.file, b.parent) AS k FROM e a JOIN e b ON a.name = b.name AND a.parent <> b.parent) WHERE k <= 5""", needs=("entities",))
+def overrides(spark, sf_dir):
+    return resolve.overrides(B.entities(spark, sf_dir))
+
+
+@query("""WITH k AS (SELECT file AS id, count(*) / 1000.0 AS rank FROM refs WHERE kind = 'import' GROUP BY 1)
+SELECT DISTINCT file, line, coalesce(rank, 0.0) AS rank FROM refs LEFT JOIN k ON file = id, (SELECT min(p_name) AS x FROM part) WHERE name = x OR ends_with(name, '::' || x)""", needs=("refs",))
+def impact_report(spark, sf_dir):
+    """Who calls the first part; a file's rank is how much it imports."""
+    r = B.refs(spark, sf_dir)
+    rank = r.where("kind = 'import'").groupBy(F.col("file").alias("id")).agg((F.count("*") / 1000.0).alias("rank"))
+    return Engine(B.entities(spark, sf_dir), r).ranked_callers(B.table(spark, sf_dir, "part").agg(F.min("p_name")).first()[0], rank)
+
+
+@query("SELECT c_name AS child, 'extend' AS kind, 'geo.n' || CAST(c_nationkey AS VARCHAR) AS target FROM customer WHERE c_nationkey = 3")
+def heritage_incoming(spark, sf_dir):
+    edges = B.table(spark, sf_dir, "customer").select(F.col("c_name").alias("child"), F.lit("extend").alias("kind"), F.concat(F.lit("geo.n"), "c_nationkey").alias("target"))
+    return code.heritage(edges, "n3")
+
+
+_CUSTOMER_CHANGES_SQL = """ch AS (SELECT 'm' || CAST(c_nationkey AS VARCHAR) AS file, CASE WHEN c_custkey % 2 = 0 THEN 'C.' ELSE '' END || c_mktsegment AS name,
+CASE c_custkey % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' ELSE 'formatting' END AS change FROM customer)"""
+
+
+def _customer_changes(spark, sf_dir):
+    c = B.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    return c.select(F.concat(F.lit("m"), "c_nationkey").alias("file"), F.concat(F.when(k % 2 == 0, "C.").otherwise(""), "c_mktsegment").alias("name"), F.when(k % 3 == 0, "added").when(k % 3 == 1, "modified").otherwise("formatting").alias("change"))
+
+
+@query("WITH " + _CUSTOMER_CHANGES_SQL + """ SELECT change, regexp_extract(name, '([^:.]*)$', 1) AS tail, count(*) AS n, count(DISTINCT file) AS files
+FROM ch WHERE change <> 'formatting' GROUP BY 1, 2 HAVING count(DISTINCT file) >= 2""")
+def cross_file_patterns(spark, sf_dir):
+    return diff.cross_file_patterns(_customer_changes(spark, sf_dir))
+
+
+@query("WITH " + _CUSTOMER_CHANGES_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY name, change) AS k FROM ch)
+SELECT file, count(*) AS n, string_agg(name, ', ' ORDER BY k) FILTER (WHERE k <= 3) || CASE WHEN count(*) > 3 THEN ' +' || CAST(count(*) - 3 AS VARCHAR) || ' more' ELSE '' END AS label FROM r GROUP BY file""")
+def change_groups(spark, sf_dir):
+    return diff.change_groups(_customer_changes(spark, sf_dir))
+
+
+@query("""WITH b AS (SELECT o_custkey, count(DISTINCT o_orderpriority) AS f FROM orders GROUP BY 1)
+SELECT 'n' || CAST(c_nationkey AS VARCHAR) AS file, c_name AS name, CAST(NULL AS VARCHAR) AS parent, c_acctbal < 0 AS breaking, coalesce(f, 0) AS direct_files,
+round(coalesce(n_nationkey / 25.0, 0) * (ln(1 + coalesce(f, 0)) + 1) * CASE WHEN c_acctbal < 0 THEN 3.0 ELSE 1.0 END, 8) AS impact
+FROM customer LEFT JOIN b ON o_custkey = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey""")
+def review_impact(spark, sf_dir):
+    c, o, n = (B.table(spark, sf_dir, t) for t in ("customer", "orders", "nation"))
+    at = [F.concat(F.lit("n"), "c_nationkey").alias("file"), F.col("c_name").alias("name"), F.lit(None).cast("string").alias("parent")]
+    uses = o.groupBy("o_custkey").agg(F.count_distinct("o_orderpriority").alias("direct_files"))
+    blast = c.join(uses, F.col("o_custkey") == F.col("c_custkey")).select(*at, "direct_files")
+    rank = n.select(F.concat(F.lit("n"), "n_nationkey").alias("id"), (F.col("n_nationkey") / 25.0).alias("rank"))
+    return diff.review_impact(c.select(*at, (F.col("c_acctbal") < 0).alias("breaking")), rank, blast).withColumn("impact", F.round("impact", 8))
+
+
+@query("""SELECT DISTINCT 'function' AS kind, p_brand AS file, CAST(NULL AS VARCHAR) AS parent, p_name AS old_name, p_name || 's' AS new_name,
+round(2.0 * length(p_name) / (2 * length(p_name) + 1), 8) AS ratio FROM part""")
+def match_fuzzy(spark, sf_dir):
+    """Every part of a brand renamed by a letter."""
+    old = B.table(spark, sf_dir, "part").select(F.lit("function").alias("kind"), F.col("p_brand").alias("file"), F.lit(None).cast("string").alias("parent"), F.col("p_name").alias("name")).distinct()
+    return diff.fuzzy_renames(old, old.withColumn("name", F.concat("name", F.lit("s")))).withColumn("ratio", F.round("ratio", 8))
+
+
+@query("""SELECT conv_id, turn, '+' AS sign, CAST(length(text) - length(replace(text, chr(10), '')) + 2 AS BIGINT) AS line, 'more' AS text FROM conversations WHERE text IS NOT NULL
+UNION ALL SELECT conv_id, turn, '+', 1, '' FROM conversations WHERE text = ''""")
+def inline_line_diff(spark, sf_dir):
+    """Every turn with a line more."""
+    c = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("old"), F.concat("text", F.lit("\nmore")).alias("new"))
+    return diff.line_diffs(c, ["conv_id", "turn"])
+
+
+@query("SELECT conv_id, turn, 'value_changed' AS change, CAST(turn AS VARCHAR) AS was, CAST(turn + 1 AS VARCHAR) AS now FROM conversations")
+def change_details(spark, sf_dir):
+    line = lambda n: F.concat(F.lit("turn = "), n.cast("string"))
+    c = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", line(F.col("turn")).alias("old"), line(F.col("turn") + 1).alias("new"))
+    return diff.token_changes(c, ["conv_id", "turn"])
+
+
+_MODULES_SQL = """m AS (SELECT DISTINCT 'src/' || lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '_', 'g')) || '/' || lower(o_orderstatus) || '.py' AS file,
+'src/brand_' || CAST(1 + o_custkey % 3 AS VARCHAR) || '.py' AS target FROM orders)"""
+
+
+@query("WITH " + _MODULES_SQL + """, d AS (SELECT DISTINCT file AS target, name FROM entities), r AS (SELECT DISTINCT file, name FROM refs WHERE kind = 'call')
+SELECT file, name, min(target) AS target, 0.85 AS confidence FROM r JOIN m USING (file) JOIN d USING (target, name) GROUP BY file, name HAVING count(*) = 1""", needs=("entities", "refs"))
+def resolve_imported(spark, sf_dir):
+    o = B.table(spark, sf_dir, "orders")
+    at = F.concat(F.lit("src/"), F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]+", "_")), F.lit("/"), F.lower("o_orderstatus"), F.lit(".py"))
+    modules = o.select(at.alias("file"), F.concat(F.lit("src/brand_"), 1 + F.col("o_custkey") % 3, F.lit(".py")).alias("target")).distinct()
+    return resolve.imported(B.refs(spark, sf_dir), modules, B.entities(spark, sf_dir))
+
+
+@query(r"""WITH u AS (SELECT DISTINCT regexp_replace(url, '^[a-z]+://', '') AS path FROM pages),
+x AS (SELECT DISTINCT regexp_extract(path, '^[^/]*') AS prefix FROM u UNION SELECT regexp_extract(path, '^[^/]*/[^/]*') FROM u WHERE contains(path, '.com/'))
+SELECT path, max_by(prefix, length(prefix)) AS prefix FROM u JOIN x ON path = prefix OR starts_with(path, prefix || '/') GROUP BY path""")
+def longest_prefix(spark, sf_dir):
+    """Each page's address with its host, or its host and first folder where the host is a .com."""
+    u = B.table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    long = u.where(F.contains("path", F.lit(".com/"))).select(F.regexp_extract("path", "^([^/]*/[^/]*)", 1).alias("prefix"))
+    return code.longest_prefix(u, u.select(F.regexp_extract("path", "^([^/]*)", 1).alias("prefix")).unionByName(long))
+
+
+@query("""WITH p AS (SELECT DISTINCT 'o' || CAST(l_orderkey AS VARCHAR) AS file, CAST(l_linenumber AS BIGINT) AS line FROM lineitem),
+s AS (SELECT 'o' || CAST(l_orderkey AS VARCHAR) AS file, 'd' || CAST(l_partkey AS VARCHAR) AS doc, CAST(l_linenumber AS BIGINT) AS e FROM lineitem WHERE l_returnflag = 'R')
+SELECT file, line, doc, doc_end FROM (SELECT p.file, p.line, doc, e AS doc_end, row_number() OVER (PARTITION BY p.file, p.line ORDER BY e DESC, doc DESC) AS k FROM p JOIN s ON p.file = s.file AND e < line AND line - e <= 2) WHERE k = 1""")
+def nearest_before(spark, sf_dir):
+    li = B.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("file"), F.col("l_linenumber").cast("long").alias("line"), F.concat(F.lit("d"), "l_partkey").alias("name"), "l_returnflag")
+    return code.nearest_before(li.select("file", "line").distinct(), li.where("l_returnflag = 'R'").select("file", "name", F.col("line").alias("line_end")))
+
+
+@query("""WITH h AS (SELECT DISTINCT file, line_start + 3 AS line FROM entities), j AS (SELECT h.file, h.line, e.name, e.line_start, e.line_end FROM h LEFT JOIN entities e ON e.file = h.file AND h.line BETWEEN e.line_start AND e.line_end)
+SELECT file, line, name AS entity FROM (SELECT *, row_number() OVER (PARTITION BY file, line ORDER BY line_start DESC NULLS LAST, line_end, name DESC) AS k FROM j) WHERE k = 1""", needs=("entities",))
+def grep_enclosing(spark, sf_dir):
+    e = B.entities(spark, sf_dir)
+    return code.enclosing(e.select("file", (F.col("line_start") + 3).alias("line")).distinct(), e)
+
+
+@query(r"""WITH l AS (SELECT 'c' || CAST(conv_id AS VARCHAR) AS file, CAST(turn AS BIGINT) AS line, '# ' || role || ': ' || string_split(text, chr(10))[1] AS text FROM conversations),
+p AS (SELECT '(?i)^\s*(?:#|//|--)\s*(USER|ASSISTANT)\s*:\s*(\S.*?)\s*$' AS p)
+SELECT file, line, upper(regexp_extract(text, '(?i)^\s*(?:#|//|--)\s*(USER|ASSISTANT)\s*:', 1)) AS marker, regexp_extract(text, '(?i)^\s*(?:#|//|--)\s*(?:USER|ASSISTANT)\s*:\s*(\S.*?)\s*$', 1) AS note FROM l, p WHERE regexp_matches(text, p)""")
+def marker_scan(spark, sf_dir):
+    c = B.table(spark, sf_dir, "conversations")
+    lines = c.select(F.concat(F.lit("c"), "conv_id").alias("file"), F.col("turn").cast("long").alias("line"), F.concat(F.lit("# "), "role", F.lit(": "), F.split("text", "\n")[0]).alias("text"))
+    return text.markers(lines, ["USER", "ASSISTANT"])
+
+
+_PATH_SQL = ORACLES["normalize_urls"].removesuffix(" FROM pages)").split("FROM (SELECT page_id, ", 1)[1].removesuffix(" AS p")
+
+
+@query("WITH q AS (SELECT DISTINCT page_id % 3 AS c, " + _PATH_SQL + """ AS p FROM pages)
+SELECT 'http::GET::' || CASE WHEN p = '' THEN '/' ELSE p END AS contract_id, 'api' AS provider_repo, 'app' || CAST(c AS VARCHAR) AS consumer_repo, 0.95 AS confidence FROM q""")
+def contract_links(spark, sf_dir):
+    """One repository offers every page, three others ask for them."""
+    p = B.table(spark, sf_dir, "pages")
+    provider = p.select(F.lit("api/routes.py").alias("file"), F.col("page_id").alias("line"), F.concat(F.lit("@app.get('"), "url", F.lit("')")).alias("text"))
+    consumer = p.select(F.concat(F.lit("app"), F.col("page_id") % 3, F.lit("/calls.ts")).alias("file"), F.col("page_id").alias("line"), F.concat(F.lit("axios.get('"), "url", F.lit("')")).alias("text"))
+    found = text.contracts(provider.unionByName(consumer), names.language(F.col("file")))
+    return text.contract_links(found.withColumn("repo", F.substring_index("file", "/", 1)))
+
+
+@query("""SELECT 'c' || CAST(o_custkey AS VARCHAR) || '/' || o_orderpriority AS file, 1.0 AS confidence FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON l_orderkey = o_orderkey
+GROUP BY 1 HAVING count(l_orderkey) = 0""")
+def unreferenced_files(spark, sf_dir):
+    o, li = B.table(spark, sf_dir, "orders"), B.table(spark, sf_dir, "lineitem")
+    key = F.concat(F.lit("o"), "o_orderkey")
+    return code.unreferenced_files(o.select(F.concat(F.lit("c"), "o_custkey", F.lit("/"), "o_orderpriority").alias("file"), key.alias("name"), key.alias("qualified_name")), li.select(F.concat(F.lit("o"), "l_orderkey").alias("name")))
+
+
+@query("""WITH m AS (SELECT c_nationkey AS community, 'r' || CAST(n_regionkey AS VARCHAR) || '/' || c_mktsegment || '/' || c_name AS file, c_acctbal AS rank FROM customer JOIN nation ON n_nationkey = c_nationkey),
+t AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY rank DESC, length(file), file) AS k, count(*) OVER (PARTITION BY community) AS files, count(DISTINCT string_split(file, '/')[2]) OVER (PARTITION BY community) AS segments FROM m)
+SELECT community, files, file AS representative, CASE WHEN segments = 1 THEN regexp_extract(file, '^(.*)/', 1) ELSE string_split(file, '/')[1] END AS label FROM t WHERE k = 1""")
+def cluster_summaries(spark, sf_dir):
+    c, n = B.table(spark, sf_dir, "customer"), B.table(spark, sf_dir, "nation")
+    m = c.join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_nationkey").alias("community"), F.concat(F.lit("r"), "n_regionkey", F.lit("/"), "c_mktsegment", F.lit("/"), "c_name").alias("file"), F.col("c_acctbal").alias("rank"))
+    return cluster_summary(m)
+
+
+@query("SELECT role, median((octet_length(encode(text)) + 3) // 4) AS tokens, count(*) AS n FROM conversations GROUP BY role")
+def token_median(spark, sf_dir):
+    return B.table(spark, sf_dir, "conversations").groupBy("role").agg(F.median(names.token_estimate(F.col("text"))).alias("tokens"), F.count("*").alias("n"))
