@@ -16,13 +16,15 @@ def limited(df: DataFrame, limit: int) -> DataFrame:
 
 
 def callers(refs: DataFrame, name: str) -> DataFrame:
-    """References that are found under a name."""
-    return refs.where(F.array_contains(alias_keys(F.col("name")), name))
+    """References that are found under a name. Every key is a part of the reference's name, so a substring test, which
+    the scan can take, comes before the keys are made."""
+    return refs.where(F.contains("name", F.lit(name))).where(F.array_contains(alias_keys(F.col("name")), name))
 
 
 def callees(refs: DataFrame, caller: str) -> DataFrame:
     """References made by a caller, a prefix of one, or its leaf."""
-    return refs.where("caller is not null").where(F.array_contains(caller_keys(F.col("caller")), caller))
+    last = caller.replace("::", ".").split(".")[-1]  # prefixes are written with dots, so only a segment is sure to be a part
+    return refs.where(F.contains("caller", F.lit(last))).where(F.array_contains(caller_keys(F.col("caller")), caller))
 
 
 def grouped(refs: DataFrame, by: str) -> DataFrame:

@@ -71,11 +71,17 @@ def expanded_refs(refs: DataFrame) -> DataFrame:
 def blast_direct(entities: DataFrame, refs: DataFrame) -> DataFrame:
     """(file, name, parent, direct_callers, direct_files): references to a definition under its name, qualified name or leaf, each once."""
     forms = F.array_distinct(F.array_compact(F.array(F.col("name"), F.col("qualified_name"), bare_leaf(F.col("name")))))
-    wanted = entities.select("file", "name", "parent", F.explode(forms).alias("key")).distinct()
-    used = expanded_refs(refs).select("ref_id", F.col("file").alias("from_file"), "key").distinct()
-    hit = wanted.join(used, "key").groupBy("file", "name", "parent").agg(F.countDistinct("ref_id").alias("direct_callers"), F.countDistinct("from_file").alias("direct_files"))
-    found = entities.select("file", "name", "parent").distinct().alias("e").join(hit.alias("h"), F.expr("e.file = h.file and e.name = h.name and e.parent <=> h.parent"), "left")
-    return found.select("e.file", "e.name", "e.parent", F.coalesce("direct_callers", F.lit(0)).alias("direct_callers"), F.coalesce("direct_files", F.lit(0)).alias("direct_files"))
+    defs = entities.select("file", "name", "parent", F.explode_outer(forms).alias("key")).groupBy("file", "name", "parent").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    defs = defs.withColumn("set", F.xxhash64("keys"))
+    # many definitions go by the same keys: references are counted once for each set of keys
+    wanted = defs.groupBy("set").agg(F.first("keys").alias("keys")).select("set", F.explode("keys").alias("key"))
+    used = expanded_refs(refs.select("file", "caller", "name", "kind", "line").distinct()).select("ref_id", F.col("file").alias("from_file"), "key")
+    hit = wanted.join(used, "key").select("set", "ref_id", "from_file").distinct()
+    # by file first: no distinct count is left for the second step
+    per_file = hit.groupBy("set", "from_file").agg(F.count("*").alias("n"))
+    counts = per_file.groupBy("set").agg(F.sum("n").alias("direct_callers"), F.count("*").alias("direct_files"))
+    none = F.lit(0).cast("long")
+    return defs.join(counts, "set", "left").select("file", "name", "parent", F.coalesce("direct_callers", none).alias("direct_callers"), F.coalesce("direct_files", none).alias("direct_files"))
 
 
 def blast_transitive(seeds: DataFrame, refs: DataFrame, depth: int = 3) -> DataFrame:
