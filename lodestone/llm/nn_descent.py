@@ -15,14 +15,16 @@ from lodestone.llm.chunks import checkpoint, partitions, release
 NEIGHBOURS = 24
 #: Vectors in a leaf of the trees that the graph starts from.
 LEAF = 320
-TREES = 6
-ROUNDS = 4
+#: Trees for each doubling of the rows beyond a leaf: 6 up to about 20,000 vectors.
+TREES = 1
+LEAST_TREES = 6
+#: Rounds go on until one changes no more than this share of the edges.
+SETTLED = 0.001
 #: Vectors that the trees' splits are learnt from and that searches may start at, at most.
 SAMPLE = 2048
 #: Nodes that a search keeps, and that it visits in a step.
 BEAM = 384
 WIDTH = 64
-STEPS = 9
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -48,7 +50,7 @@ def _best(sim: np.ndarray, k: int) -> np.ndarray:
 class Trees:
     """Random hyperplane trees of equal depth, split at the medians of a sample; leaves are numbers."""
 
-    def __init__(self, x: np.ndarray, depth: int, trees: int = TREES, seed: int = 11):
+    def __init__(self, x: np.ndarray, depth: int, trees: int = LEAST_TREES, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.depth, self.trees = depth, []
         for _ in range(trees):
@@ -151,7 +153,7 @@ def improve(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 x = np.frombuffer(b"".join(r["x"] for r in row), dtype="<f4").reshape(len(row), -1)
                 sim = x @ x.T
                 np.fill_diagonal(sim, -np.inf)
-                top = _best(sim, 8)
+                top = _best(sim, k)
                 near = np.take_along_axis(sim, top, 1)
                 good = near > np.array([r["worst"] for r in row])[:, None]
                 for i in np.flatnonzero(good.any(axis=1)).tolist():
@@ -164,9 +166,10 @@ def improve(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return _merge(graph.unionByName(news), k)
 
 
-def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, starts: tuple[np.ndarray, np.ndarray], beam: int = BEAM, width: int = WIDTH, steps: int = STEPS) -> DataFrame:
+def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, starts: tuple[np.ndarray, np.ndarray], beam: int = BEAM, width: int = WIDTH) -> DataFrame:
     """(qid, found: array of ids): greedy search. Every query keeps its ``beam`` nearest nodes so far, and in a step
-    visits the ``width`` nearest that it hasn't yet; it starts at the nearest of ``starts``, a bounded sample."""
+    visits the ``width`` nearest that it hasn't yet, until it has visited all that it keeps; it starts at the nearest
+    of ``starts``, a bounded sample."""
     adjacent = checkpoint(with_vectors(both_ways(graph, NEIGHBOURS), nodes))
     start_ids, start_x = starts
 
@@ -203,14 +206,19 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, starts: tuple
                 out.append((qid, q, i[o], s[o], np.concatenate([seen, next_])))
             yield pd.DataFrame(out, columns=["qid", "q", "ids", "sims", "seen"])
 
-    for _ in range(steps):
-        chosen = state.withColumn("next", F.slice(F.filter("ids", lambda i: ~F.array_contains("seen", i)), 1, width))
+    unseen = F.filter("ids", lambda i: ~F.array_contains("seen", i))
+    done = None
+    while True:
+        over = state.where(F.size(unseen) == 0).select("qid", F.col("ids").alias("found"))
+        done = over if done is None else done.unionByName(over)
+        chosen = state.withColumn("next", F.slice(unseen, 1, width)).where(F.size("next") > 0)
+        if chosen.isEmpty():
+            return done
         todo = chosen.select("qid", "q", F.explode("next").alias("id"))
         got = todo.join(adjacent, "id").select("qid", "q", "others").mapInPandas(visit, "qid long, ids array<long>, sims array<float>")
         more = got.groupBy("qid").agg(F.collect_list(F.struct("ids", "sims")).alias("more"))
         state = checkpoint(chosen.join(more, "qid", "left").mapInPandas(next_state, state_ddl))
         release(state.sparkSession)
-    return state.select("qid", F.col("ids").alias("found"))
 
 
 def nearest(df: DataFrame, query: F.Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -248,11 +256,15 @@ def nearest(df: DataFrame, query: F.Column, k: int = 20, id_col: str = "vec_id",
     some = nodes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "x").toPandas()
     sample_ids, sample = some["id"].to_numpy(), _matrix(some["x"])
     depth = max(0, math.ceil(math.log2(max(1, total / LEAF))))
-    graph = checkpoint(start_graph(nodes, Trees(sample, depth), NEIGHBOURS))
-    if total > LEAF:
-        for _ in range(ROUNDS):
-            graph = checkpoint(improve(graph, nodes, NEIGHBOURS))
-            release(spark)
+    graph = checkpoint(start_graph(nodes, Trees(sample, depth, max(LEAST_TREES, TREES * depth)), NEIGHBOURS))
+    while total > LEAF:
+        better = checkpoint(improve(graph, nodes, NEIGHBOURS))
+        old = graph.select("id", F.col("other").alias("had"))
+        new, graph = better.join(old, "id", "left"), better
+        changed = new.agg(F.sum(F.size(F.array_except("other", F.coalesce("had", F.array().cast("array<long>")))))).first()[0]
+        release(spark)
+        if changed <= SETTLED * NEIGHBOURS * total:
+            break
 
     def query_vectors(batches):
         for pdf in batches:

@@ -364,3 +364,27 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert docs.where("offset + length > 4096").count() == 0
     assert corpus_pipeline.run(spark, DATA).count() == docs.count()
+
+
+def test_nn_recall_above_the_sample(spark):
+    n, d = 3 * nn_descent.SAMPLE, 48
+    x = np.random.default_rng(8).normal(size=(n, d)).astype("<f4")
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in nn_descent.nearest(df, F.col("id") % 60 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    s = x @ x[::60].T
+    s[np.arange(0, n, 60), np.arange(s.shape[1])] = -np.inf
+    hit = sum(len(got[60 * j] & set(np.argsort(-s[:, j])[:20].tolist())) for j in range(s.shape[1]))
+    assert hit >= 0.97 * 20 * s.shape[1]
+
+
+def test_nn_search_goes_on_until_all_that_it_keeps_is_visited(spark):
+    n = 15
+    x = np.array([[math.cos(i / 10), math.sin(i / 10)] for i in range(n)], dtype="<f4")
+    rows = [(i, x[i].tobytes()) for i in range(n)]
+    nodes = spark.createDataFrame(rows, "id long, x binary")
+    graph = spark.createDataFrame([(i, [j], [float(x[i] @ x[j])]) for i in range(n) for j in [max(i - 1, 0) if i else 1]], "id long, other array<long>, sim array<float>")
+    queries = spark.createDataFrame([(7, rows[-1][1])], "qid long, q binary")
+    (found,) = nn_descent.search(queries, graph, nodes, (np.array([0]), x[:1]), beam=2, width=1).collect()
+    assert found["found"][0] == n - 1
