@@ -18,6 +18,8 @@ from lodestone.llm.labelled import buffers, held_out, logistic, sample
 SAMPLE = 8000
 #: Terms of the lexicon, at most: the most frequent ones.
 TERMS = 400
+#: Different words that a term follows in toxic documents, at least.
+SUPPORT = 5
 #: Terms of at least so many bytes are also found with one edit.
 FUZZY = 5
 #: Words on either side of a hit that are its context.
@@ -243,8 +245,9 @@ def choose_terms(found: dict[bytes, tuple[int, int]], most: int = TERMS) -> list
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Lexicon and weights from at most ``most`` labelled documents (labelled.sample).
 
-    A candidate enters the lexicon if in toxic documents it follows different words, one for each 100 of these (5 at
-    least; so copies of a text don't count), and is there at least 100 times as frequent as elsewhere. A term's weight, and another for its misspellings, is the logarithm of its odds, in units
+    A candidate enters the lexicon if in toxic documents it follows SUPPORT different words (so copies of a text don't
+    count), and is there at least 100 times as frequent as elsewhere. Both are tested on the executors, for every
+    candidate; only what passes is collected. A term's weight, and another for its misspellings, is the logarithm of its odds, in units
     of the strongest; a misspelling that isn't found starts from half of its term's. Without toxic labels nothing
     is toxic.
     """
@@ -255,17 +258,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     if not toxic:
         return nothing
     by_term = chosen.where("y = 1").select("id", "text").mapInArrow(_candidates, "term binary, after long").groupBy("term", "after").agg(F.count("*").alias("t"))
-    by_term = by_term.groupBy("term").agg(F.sum("t").alias("t"), F.count("*").alias("support")).where(F.col("support") >= max(5, toxic // 100))
-    support = {bytes(r["term"]): r["t"] for r in by_term.orderBy(F.col("support").desc(), "term").limit(20 * TERMS).collect()}
-
-    def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in buffers(batches, 1):
-            for text in texts:
-                found = [c for c in _beginnings(set(_words(text))) if c in support]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], schema=pa.schema([("term", pa.binary())]))
-
-    other = {bytes(r["term"]): r["o"] for r in chosen.where("y = 0").select("id", "text").mapInArrow(elsewhere, "term binary").groupBy("term").agg(F.count("*").alias("o")).collect()}
-    terms = choose_terms({c: (t, other.get(c, 0)) for c, t in support.items() if t * (clean + 1) >= 100 * (toxic + 1) * other.get(c, 0)})
+    by_term = by_term.groupBy("term").agg(F.sum("t").alias("t"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
+    other = chosen.where("y = 0").select("id", "text").mapInArrow(_candidates, "term binary, after long").groupBy("term").agg(F.count("*").alias("o"))
+    told = by_term.join(other, "term", "left").select("term", "t", F.coalesce("o", F.lit(0)).alias("o")).where(F.col("t") * (clean + 1) >= F.col("o") * (100 * (toxic + 1)))
+    terms = choose_terms({bytes(r["term"]): (r["t"], r["o"]) for r in told.collect()})
     if not terms:
         return nothing
     size = 1 + 2 * len(terms)

@@ -388,3 +388,21 @@ def test_nn_search_goes_on_until_all_that_it_keeps_is_visited(spark):
     queries = spark.createDataFrame([(7, rows[-1][1])], "qid long, q binary")
     (found,) = nn_descent.search(queries, graph, nodes, (np.array([0]), x[:1]), beam=2, width=1).collect()
     assert found["found"][0] == n - 1
+
+
+def test_rare_toxic_terms_are_learnt(spark):
+    """Terms with the least support that counts, behind more ordinary words than a list of candidates once held."""
+    rng = np.random.default_rng(2)
+    ids = [i for i in range(700) if zlib.crc32(str(i).encode()) % 5]
+    common = ["".join(rng.choice(list("abcdefghijklmnop"), 12)) for _ in range(2500)]
+    docs, rare = [], iter(range(6))
+    for n, i in enumerate(ids):
+        toxic = n < 60
+        words = [str(w) for w in rng.permutation(common)]
+        if toxic and next(rare, None) is not None:
+            words.insert(7, "zzvile")
+        docs.append((i, " ".join(words if toxic else words[:1200]), int(toxic)))
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    m = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    a, b = m.sums([b"some zzvile words", b"some plain words"])
+    assert a > 0 and b == 0
