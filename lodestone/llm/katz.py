@@ -27,6 +27,8 @@ CHUNK_BYTES = 4 << 20
 _SHORT = U64(16)
 #: Counts above this are not discounted.
 GT_MAX = 5
+#: A context whose discounts free no more has freed nothing: what is left is rounding.
+NOTHING = 1e-11
 _END = A.mix(np.array([0x5EED], dtype=U64))[0]
 _START = A.mix(np.array([0x57A7], dtype=U64))[0]
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -39,19 +41,19 @@ def default_training(ids: list) -> np.ndarray:
 
 
 def good_turing(of_count: dict[int, int], most: int = GT_MAX) -> np.ndarray:
-    """Katz's discount ratios d[1..most] from how many types occur 1, 2, ... most + 1 times; 1 where the estimate makes no sense."""
+    """Katz's discount ratios d[1..most] from how many types occur 1, 2, ... most + 1 times; where the estimate makes no sense half an
+    event is taken off, so that some mass is freed all the same. Without types that occur once all are 1."""
     d = np.ones(most + 2)
     n = [0, *(of_count.get(r, 0) for r in range(1, most + 2))]
     if n[1] == 0:
         return d
     a = (most + 1) * n[most + 1] / n[1]
     for r in range(1, most + 1):
+        d[r] = 1 - 0.5 / r
         if n[r] and a < 1:
             x = ((r + 1) * n[r + 1] / n[r] / r - a) / (1 - a)
             if 0 < x < 1:
                 d[r] = x
-    if (d[1 : most + 1] == 1).all():  # nothing to back off with: counts of counts too thin
-        d[1] = 0.5
     return d
 
 
@@ -149,7 +151,8 @@ def katz_scores(docs: DataFrame, training: Callable[[list], np.ndarray] = defaul
     alpha(v) P(w). P(w) is Katz again: d(c) c(w) / N, and the mass that this frees goes to words that training
     doesn't have (taken as one). alpha(v) makes the probabilities after v sum to 1 exactly: it is what the discounts
     of v's pairs free, over the P of the words that never follow v. A context that training doesn't have backs off
-    in full. The first word follows a start mark.
+    in full. Where the discounts free nothing (all of v's pairs are too frequent for one), one more event is taken as
+    seen: P(w | v) = c(v, w) / (c(v) + 1), and the rest is for the others. The first word follows a start mark.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (see the contract: base is
     add-one over words; score log10 of the model's probability). Null and empty texts are an end alone. Null ids are
@@ -232,7 +235,9 @@ def katz_scores(docs: DataFrame, training: Callable[[list], np.ndarray] = defaul
         starts = A.starts_of_groups(cols[0][o])
         size = np.diff(np.concatenate((starts, [len(o)])))
         mass, alone = (np.add.reduceat(_floats(c)[o], starts) for c in cols[1:])
-        alpha = np.where(mass > 0, np.maximum(0.0, 1 - mass) / np.maximum(1 - alone, 1e-300), 1.0)
+        rest = np.maximum(1 - alone, 1e-300)
+        # negative: nothing is freed; the chunk, which knows c(v), makes it the share of one event in c(v) + 1
+        alpha = np.where(mass > 0, np.where(1 - mass > NOTHING, (1 - mass) / rest, -1 / rest), 1.0)
         out = np.empty(len(o))
         out[o] = np.repeat(alpha, size)
         return [_bits(out)]
@@ -248,9 +253,11 @@ def katz_scores(docs: DataFrame, training: Callable[[list], np.ndarray] = defaul
         got = row["contexts"] or []
         alpha = np.ones(len(t.words))
         alpha[heads] = _floats(told(t.words[heads], n, [g["bucket"] for g in got], [g["blob"] for g in got], 1)[0])
+        scale = np.where(alpha < 0, left / (left + 1), 1.0)
+        alpha = np.where(alpha < 0, -alpha / (left + 1), alpha)
         base = np.log10((count + 1) / (N + V + 1))
-        p = np.where(c > 0, discounted(c, d2) / np.maximum(left[t.pair_left], 1), alpha[t.pair_left] * unigram(count)[t.pair_word])
-        logp = np.log10(np.maximum(p, 1e-300))
+        p = np.where(c > 0, discounted(c, d2) / np.maximum(left[t.pair_left], 1) * scale[t.pair_left], alpha[t.pair_left] * unigram(count)[t.pair_word])
+        logp = np.log10(p)
         m = len(t.ids)
         return [t.ids, ~t.train, t.n, np.bincount(t.doc, count[t.word] > 0, minlength=m).astype(np.int64), np.full(m, N, np.int64), _exact(base[t.word], t.n), _exact(logp[t.pair], t.n)]
 

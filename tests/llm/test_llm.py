@@ -406,3 +406,23 @@ def test_rare_toxic_terms_are_learnt(spark):
     m = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
     a, b = m.sums([b"some zzvile words", b"some plain words"])
     assert a > 0 and b == 0
+
+
+def test_katz_reserves_mass_where_no_pair_is_discounted(spark):
+    train = lambda ids: np.array([i < 100 for i in ids])
+    texts = {i: f"alpha beta word{i} tail{i % 30}" for i in range(50)} | {100: "alpha word3", 101: "alpha beta"}
+    got = {r["doc_id"]: r["score"] for r in katz.katz_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), train).collect()}
+    assert got[100] > -20
+    # after alpha: beta 50 / 51, and the rest of the vocabulary shares 1 / 51
+    c = Counter(w for i, t in texts.items() if i < 100 for w in [*t.split(), None])
+    pairs = Counter(p for i, t in texts.items() if i < 100 for p in pairwise(["<s>", *t.split(), None]))
+    n, d1, d2 = sum(c.values()), katz.good_turing(Counter(c.values())), katz.good_turing(Counter(pairs.values()))
+    cut = lambda k, d: k * d[min(k, 6)]
+    one = {w: cut(k, d1) / n for w, k in c.items()}
+    unseen = 1 - sum(one.values())
+    rest = 1 / 51 / (1 - one["beta"])
+    assert math.isclose(50 / 51 + rest * (sum(one.values()) - one["beta"] + unseen), 1, rel_tol=1e-9)
+    end = cut(pairs["word3", None], d2) / c["word3"] if pairs["word3", None] else None
+    alpha3 = (1 - sum(cut(k, d2) / c["word3"] for (a, w), k in pairs.items() if a == "word3")) / (1 - sum(one[w] for a, w in pairs if a == "word3"))
+    want = math.log10(50 / 51) + math.log10(rest * one["word3"]) + math.log10(end or alpha3 * one[None])  # <s> alpha: 50 of 51 too
+    assert math.isclose(got[100], want, rel_tol=1e-9)
