@@ -1,4 +1,4 @@
-"""A corpus pipeline: toxicity, SimHash near-dedup, suffix-array dedup, mixing, packing.
+"""A corpus pipeline: toxicity, near-dedup, suffix-array dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents; the last returns the
 packing. Run one after another, each stage's result is written as Parquet and read back as the next one's docs.
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, packing, simhash, suffix_dedup, toxicity
+from lodestone.llm import mixing, near_copies, packing, suffix_dedup, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the smallest id. Rows that repeat it go too."""
-    return simhash.one_of_each(docs)
+    """One document of each component of near copies stays: the one with the smallest id. Near copies have a Jaccard
+    similarity of 0.8 or more on shingles of five words, which fingerprints of 64 bits don't tell (README)."""
+    return near_copies.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import catalog, itq_dedup, katz, mixing, nn_descent, packing, quality, simhash, substring_dedup, suffix_dedup, toxicity
+from lodestone.llm import catalog, itq_dedup, katz, mixing, near_copies, nn_descent, packing, quality, simhash, substring_dedup, suffix_dedup, toxicity
 from lodestone.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -426,3 +426,56 @@ def test_katz_reserves_mass_where_no_pair_is_discounted(spark):
     alpha3 = (1 - sum(cut(k, d2) / c["word3"] for (a, w), k in pairs.items() if a == "word3")) / (1 - sum(one[w] for a, w in pairs if a == "word3"))
     want = math.log10(50 / 51) + math.log10(rest * one["word3"]) + math.log10(end or alpha3 * one[None])  # <s> alpha: 50 of 51 too
     assert math.isclose(got[100], want, rel_tol=1e-9)
+
+
+def jaccard_components(texts, words=5, least=0.8):
+    """The root of each text by brute force."""
+    def shingles(t):
+        w = WORD.findall(lower(t))
+        return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(sets)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and (a == b or len(a & b) >= least * len(a | b)):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    return [top(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("piece", [1024, 3])
+def test_near_copies(spark, monkeypatch, piece):
+    monkeypatch.setattr(near_copies, "PIECE", piece)
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(40):
+        w = [f"w{k}" for k in rng.integers(0, 500, 120)]
+        texts.append(" ".join(w))
+        for cuts in (1, 2, 3):  # one changed word costs five shingles of 116: 0.92, 0.84, 0.77
+            v = list(w)
+            for k in rng.choice(np.arange(10, 110, 12), cuts, replace=False):
+                v[k] = "other"
+            texts.append(" ".join(v))
+    texts += ["", None, "  ", "two words", "two Words", "two others", texts[0]]
+    order = rng.permutation(len(texts)).tolist()
+    texts = [texts[k] for k in order]
+    rows = [*enumerate(texts), (None, texts[5]), (None, "only here and without an id"), (None, "only here and without an id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r["doc_id"] for r in near_copies.one_of_each(df).collect()]
+    assert sorted(got, key=ORDER) == [*sorted(set(jaccard_components(texts))), None]
+
+
+def test_pipeline_drops_near_copies_and_keeps_unlike_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    w = [f"w{k}" for k in range(120)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:60] + ["other", "words"] + w[62:])), (7, "a text of its own that nothing else here is like"), (7, "another one which has nothing to do with the first")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, DATA).collect()) == [1, 7, 7]
