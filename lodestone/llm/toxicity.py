@@ -176,7 +176,10 @@ class Model:
         doc = np.searchsorted(ends_of, starts[at], side="left")
         first = np.searchsorted(starts, ends_of - np.array([len(t) for t in texts]))
         last = np.append(first[1:], len(starts)) - 1
-        near = np.minimum(3, np.searchsorted(at, at + CONTEXT, side="right") - np.searchsorted(at, at - CONTEXT) - 1)
+        # a context ends where its document does
+        low_hit = np.maximum(np.searchsorted(at, at - CONTEXT), np.searchsorted(doc, doc))
+        high_hit = np.minimum(np.searchsorted(at, at + CONTEXT, side="right"), np.searchsorted(doc, doc, side="right"))
+        near = np.minimum(3, high_hit - low_hit - 1)
         context = 1 + COMPANY * near
         raw = buf.tobytes()
         for i, (k, d) in enumerate(zip(at.tolist(), doc.tolist())):

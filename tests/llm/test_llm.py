@@ -479,3 +479,9 @@ def test_pipeline_drops_near_copies_and_keeps_unlike_texts_of_one_id(spark):
     rows = [(1, " ".join(w)), (2, " ".join(w[:60] + ["other", "words"] + w[62:])), (7, "a text of its own that nothing else here is like"), (7, "another one which has nothing to do with the first")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, DATA).collect()) == [1, 7, 7]
+
+
+def test_toxicity_of_a_text_does_not_depend_on_its_neighbours():
+    m = toxicity.Model(toxicity.compile_lexicon([(b"idiot", False)]), np.array([0.0, 1.0, 0.5]), 1.0, 0.0)
+    texts = [b"you idiot", b"idiot you are an idiot", b"", b"plain", b"what an idiot"]
+    assert m.sums(texts).tolist() == [m.sums([t])[0] for t in texts]
