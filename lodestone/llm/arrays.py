@@ -6,6 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 import zstandard
 
 U64 = np.uint64
@@ -34,38 +35,31 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U64)
-    out[0] = 1
-    return np.cumprod(out, dtype=U64)
-
-
-_POW: list[np.ndarray] = []
-
-
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, as many as n; those of a usual chunk are kept."""
-    if not _POW:
-        _POW.extend((powers(_BASE, 1 << 21), powers(pow(_BASE, -1, 1 << 64), 1 << 21)))
-    if n <= len(_POW[0]):
-        return _POW[0][:n], _POW[1][:n]
-    return powers(_BASE, n), powers(pow(_BASE, -1, 1 << 64), n)
-
-
 def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of a UTF-8 buffer."""
     edge = np.diff(np.concatenate(([True], WS[buf], [True])).view(np.int8))
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
+#: Bytes of a word that are hashed in numpy; longer words are hashed one by one.
+LONG_WORD = 64
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=U64)
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word."""
-    if not len(starts):
-        return np.zeros(0, dtype=U64)
-    up, down = _pow(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, dtype=U64)
-    np.cumsum(BYTE[buf] * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """A 64-bit hash of the bytes of each word: eight at a time through the finaliser, which starts from the length; XXH3 for long words."""
+    size = ends - starts
+    out = size.astype(U64) * U64(_BASE)
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate((buf, np.zeros(8, np.uint8))), 8)
+    at, done = np.flatnonzero(size <= LONG_WORD), 0
+    while len(at):
+        left = size[at] - done
+        eight = eights[starts[at] + done].view("<u8").ravel() & _KEEP[np.minimum(left, 8)]
+        out[at] = mix(out[at] ^ eight)
+        at, done = at[left > 8], done + 8
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]].tobytes())
+    return out
 
 
 def pack(*columns: np.ndarray) -> bytes:
