@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies stays: the one with the smallest id. Near copies have a Jaccard
-    similarity of 0.8 or more on shingles of five words, which fingerprints of 64 bits don't tell (README)."""
+    similarity of 0.8 or more on shingles of five words: they meet by SimHash fingerprints and are verified on the shingles."""
     return near_copies.one_of_each(docs)
 
 

@@ -1,7 +1,9 @@
-"""Near copies by the Jaccard similarity of word shingles: min-hash bands, every colliding pair verified on the sets (pipeline)."""
+"""Near copies by SimHash: several fingerprints of a text's shingles, meet-in-the-middle ball hashing, every collision verified
+by the Jaccard similarity of the shingles themselves (operator 1 in a pipeline, where the radius follows from a similarity)."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,19 +18,37 @@ from lodestone.llm.arrays import U64
 from lodestone.llm.chunks import checkpoint, release
 from lodestone.llm.components import connected_components
 from lodestone.llm.labelled import buffers
+from lodestone.llm.simhash import collisions, flips
 
 #: Words of a shingle.
 WORDS = 5
-#: Sets meet where the ROWS least hashes of one of BANDS bands agree: 0.9998 of the pairs at 0.8, 0.008 of those at 0.3.
-BANDS, ROWS = 36, 7
-#: Bands that are looked at first; of the others only groups that these leave in several components.
-FIRST = 6
-#: Sets of a band that are compared in one piece; of more, pieces are compared with each other.
+#: Fingerprints meet at so many differing bits or fewer: half of them from each side.
+RADIUS = 4
+#: Share of the pairs at the least similarity that may meet under none of the fingerprints.
+MISSED = 0.005
+#: Bits that a short text's fingerprints differ in beyond the limit of many shingles, as a share.
+SHORT_TEXTS = 0.02
+#: Bits of all fingerprints together, at least: they tell whether a pair that met is worth verifying.
+WIDE = 256
+#: Sets of a block that are compared in one piece; of more, pieces are compared with each other.
 PIECE = 1024
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_A, _B = np.random.default_rng(17).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)
-_A |= np.uint32(1)
+
+
+def differing(similarity: float) -> float:
+    """The share of bits in which fingerprints of sets with this Jaccard similarity differ (sets of one size, the worst case)."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def shape(rows: int, similarity: float) -> tuple[int, int, int]:
+    """(fingerprints, bits of one, leading bits that name a group): a bit for each doubling of the rows, so that few
+    unlike texts meet, and as many fingerprints as MISSED asks for."""
+    doublings = max(1, rows).bit_length()
+    bits = min(56, max(24, doublings + 14))
+    p = differing(similarity) + SHORT_TEXTS
+    meet = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(RADIUS + 1))
+    return max(math.ceil(math.log(MISSED) / math.log(1 - meet)), -(-WIDE // bits)), bits, min(12, max(4, doublings - 13))
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -53,16 +73,41 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """A key for each band of a set that isn't empty."""
-    x = (shingles >> U64(32)).astype(np.uint32)
-    least = np.full(len(_A), 0xFFFFFFFF, dtype=np.uint32)
-    for at in range(0, len(x), 1024):
-        least = np.minimum(least, (x[at : at + 1024, None] * _A + _B).min(axis=0))
-    key = np.arange(1, BANDS + 1, dtype=U64)
-    for column in least.reshape(BANDS, ROWS).T:
-        key = A.mix(key * U64(3)) + column.astype(U64)
-    return A.mix(key)
+def fingerprints(shingles: np.ndarray, number: int, bits: int) -> list[int]:
+    """SimHash fingerprints of a set that isn't empty: bit by bit, whether it is set in over half of the shingles' hashes."""
+    words = -(-number * bits // 64)
+    salt = A.mix(np.arange(1, words + 1, dtype=U64) * U64(0xD1342543DE82EF95))
+    count = np.zeros(64 * words, dtype=np.int64)
+    for at in range(0, len(shingles), 255):  # so many fit a byte
+        x = A.mix(shingles[at : at + 255, None] ^ salt)
+        count += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    set_ = (2 * count > len(shingles))[: number * bits].reshape(number, bits)
+    return (set_ @ (1 << np.arange(bits, dtype=np.int64))).tolist()
+
+
+def meeting(groups: DataFrame, bits: int, prefix: int) -> DataFrame:
+    """(a, b): pairs of groups (which, g, fp, s) that share a variant. Of up to four that share one all pairs, of more each
+    with the two least and the next three, so that their number stays in proportion to the collisions."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("s")
+        fp, s = pdf["fp"].to_numpy().astype(np.int64).view(U64), pdf["s"].to_numpy()
+        away = np.bitwise_count((fp >> U64(bits - prefix)) ^ U64(int(pdf["g"].iloc[0]))).astype(np.int64)
+        n, pairs = len(fp), [np.zeros(0, dtype=np.int64)]
+        for v, o in collisions(fp, RADIUS // 2 - away, np.arange(n), bits - prefix):
+            starts = A.starts_of_groups(v)
+            first = np.repeat(starts, np.diff(np.concatenate((starts, [len(v)]))))
+            at = np.arange(len(v))
+            for k in (1, 2, 3):
+                i = np.flatnonzero(v[k:] == v[:-k])
+                pairs.append(o[i] * n + o[i + k])
+            for k in (0, 1):
+                i = at[at > first + k]
+                pairs.append(o[first[i] + k] * n + o[i])
+            pairs = [np.unique(np.concatenate(pairs))]
+        return pd.DataFrame({"a": s[pairs[0] // n], "b": s[pairs[0] % n]})
+
+    return groups.groupBy("which", "g").applyInPandas(run, "a long, b long")
 
 
 def ties(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -70,18 +115,25 @@ def ties(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     sizes = np.array([len(s) for s in sets])
     known, code = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    codes = np.split(code, starts[1:])
     left, out = np.ones(len(sets), dtype=bool), []
+    open_ = np.arange(len(sets))  # those that were left when the arrays were last made smaller
+    mine = np.zeros(len(known), dtype=bool)
     for root in range(len(sets)):
         if not left[root]:
             continue
         left[root] = False
         todo = [root]
         while todo and left.any():
+            if 2 * left.sum() < len(open_):
+                open_ = np.flatnonzero(left)
+                code = np.concatenate([codes[i] for i in open_])
+                starts = np.concatenate(([0], np.cumsum(sizes[open_])[:-1]))
             q = todo.pop()
-            mine = np.zeros(len(known), dtype=bool)
-            mine[code[starts[q] : starts[q] + sizes[q]]] = True
+            mine[codes[q]] = True
             both = np.add.reduceat(mine[code].astype(np.int64), starts)
-            near = np.flatnonzero(left & (both >= similarity * (sizes + sizes[q] - both) - 1e-9))
+            mine[codes[q]] = False
+            near = open_[left[open_] & (both >= similarity * (sizes[open_] + sizes[q] - both) - 1e-9)]
             left[near] = False
             todo.extend(near.tolist())
             out.extend((q, i) for i in near.tolist())
@@ -92,33 +144,44 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
     """One row of each component, unchanged: the one with the smallest id, of a component without ids any one.
 
     Two texts link if the Jaccard similarity of their sets of shingles is at least ``similarity``; texts without a word
-    are one component. Equal sets are one node. Sets that meet in a band are compared themselves (hashes of 64 bits
-    for shingles), pieces of a large band first with themselves and one common set; pieces that this leaves in several
+    are one component. Equal sets are one node. Each set has several fingerprints (see shape()); sets that meet under
+    one, by variants within half the radius of each, and whose fingerprints together differ by clearly less than those
+    of unlike sets, are in one block. Within a block the sets themselves are compared (hashes of 64 bits for
+    shingles): of a large block pieces with themselves and one common set first; pieces that this leaves in several
     components meet each other. Rows are told apart by id and text, so rows with one id and unlike texts don't hide
     each other.
     """
     i, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    number, bits, prefix = shape(docs.count(), similarity)
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("fps", pa.list_(pa.int64()))])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in buffers(batches, 2):
             sets = shingle_sets(texts)
             s = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=U64).view(np.int64)
-            keys = [band_keys(x).view(np.int64) if len(x) else [] for x in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+            fps = [fingerprints(x, number, bits) if len(x) else [] for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array(fps, pa.list_(pa.int64()))], schema=schema)
 
     plain = docs.select(i.alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    rows = plain.mapInArrow(sketch, "id long, th long, s long, keys array<long>")
+    rows = plain.mapInArrow(sketch, "id long, th long, s long, fps array<long>")
     # the first row of each set; a null id is later than any other
-    nodes = checkpoint(rows.groupBy("s").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th")).alias("row"), F.first("keys").alias("keys")))
-
-    # bands in which the same sets meet say the same: one of them stays
-    keyed = nodes.select("s", F.posexplode("keys").alias("band", "key"))
-    bands = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("s").alias("hub"), F.bit_xor(F.xxhash64("s")).alias("all")).where("n > 1")
-    bands = bands.groupBy("n", "hub", "all").agg(F.min(F.struct("band", "key")).alias("at")).select("at.*", "hub", F.ceil(F.col("n") / PIECE).cast("int").alias("pieces"))
-    met = checkpoint(keyed.join(bands, ["band", "key"]).withColumn("p", F.pmod(F.xxhash64("s"), F.col("pieces")).cast("int")))
-
-    needed = met.select("s").distinct().join(nodes, "s").select("s", F.col("row.id").alias("id"), F.col("row.th").alias("th"))
+    nodes = checkpoint(rows.groupBy("s").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th")).alias("row"), F.first("fps").alias("fps")))
+
+    masks = flips(list(range(bits - prefix, bits)), RADIUS // 2).view(np.int64).tolist()
+    each = nodes.select("s", F.posexplode("fps").alias("which", "fp")).withColumn("m", F.explode(F.array(*map(F.lit, masks))))
+    groups = each.select("which", F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("m")), bits - prefix).alias("g"), "fp", "s")
+    met = meeting(groups, bits, prefix).distinct()
+    near = differing(similarity)
+    limit = number * bits * (near + 0.4 * (0.5 - near))
+    of = lambda end: nodes.select(F.col("s").alias(end), F.col("fps").alias(f"of_{end}"))
+    far = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    alike = checkpoint(met.join(of("a"), "a").join(of("b"), "b").where(far <= limit).select("a", "b"))
+    release(docs.sparkSession)
+    blocks = checkpoint(connected_components(alike).select(F.col("id").alias("s"), F.col("component").alias("key")))
+    sizes = blocks.groupBy("key").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
+    met = checkpoint(blocks.join(sizes, "key").select("key", "s", "pieces", F.pmod(F.xxhash64("s"), F.col("pieces")).cast("int").alias("p")))
+
+    needed = met.join(nodes, "s").select("s", F.col("row.id").alias("id"), F.col("row.th").alias("th"))
     no = F.coalesce("id", F.lit(-1))
     texts = plain.withColumn("no", no).drop("id").join(needed.select("s", no.alias("no"), "th"), ["no", "th"]).dropDuplicates(["s"])
     content = pa.schema([("s", pa.int64()), ("set", pa.binary())])
@@ -128,6 +191,7 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in shingle_sets(ts)], pa.binary())], schema=content)
 
     sets = checkpoint(texts.select("s", "text").mapInArrow(full, "s long, set binary"))
+    release(docs.sparkSession)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("s").sort_values("s")
@@ -135,26 +199,20 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
         found = ties([np.frombuffer(x, dtype=U64) for x in pdf["set"]], similarity)
         return pd.DataFrame([(s[a], s[b]) for a, b in found], columns=["a", "b"], dtype="int64")
 
-    def apart(groups: DataFrame) -> DataFrame:
-        """The groups whose sets are in several components."""
-        of = groups.join(comps, "s", "left").groupBy("key").agg(F.min(F.coalesce("component", "s")).alias("low"), F.max(F.coalesce("component", "s")).alias("high"))
-        return groups.join(of.where("low != high").select("key"), "key")
-
-    edges = comps = None
-    for mine in (met.where(F.col("band") < FIRST), met.where(F.col("band") >= FIRST)):
-        mine = mine if comps is None else apart(mine)
-        hubs = mine.where("pieces > 1").select("key", "pieces", "hub").distinct().select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p"), F.col("hub").alias("s"))
-        first = mine.select("key", "p", "s").unionByName(hubs).join(sets, "s")
-        found = checkpoint(first.groupBy("key", "p").applyInPandas(compare, "a long, b long").distinct())
-        edges = found if edges is None else edges.unionByName(found)
-        comps = checkpoint(connected_components(edges).select(F.col("id").alias("s"), "component"))
-        release(docs.sparkSession)
+    # a block is named by its least set, which every piece of it gets
+    hubs = met.where("pieces > 1").select("key", "pieces").distinct().select("key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p"), F.col("key").alias("s"))
+    first = met.select("key", "p", "s").unionByName(hubs).join(sets, "s")
+    edges = checkpoint(first.groupBy("key", "p").applyInPandas(compare, "a long, b long"))
+    comps = checkpoint(connected_components(edges).select(F.col("id").alias("s"), "component"))
     large = met.where("pieces > 1")
     if not large.isEmpty():
-        dealt = apart(large).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).where("p != q")
+        of = large.join(comps, "s", "left").groupBy("key").agg(F.min(F.coalesce("component", "s")).alias("low"), F.max(F.coalesce("component", "s")).alias("high"))
+        apart = large.join(of.where("low != high").select("key"), "key")
+        dealt = apart.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).where("p != q")
         dealt = dealt.select("key", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "s").join(sets, "s")
         more = dealt.groupBy("key", "a", "b").applyInPandas(compare, "a long, b long")
         comps = connected_components(checkpoint(edges.unionByName(more))).select(F.col("id").alias("s"), "component")
+    release(docs.sparkSession)
 
     named = nodes.join(comps, "s", "left").groupBy(F.coalesce("component", "s").alias("c")).agg(F.min("row").alias("row"))
     stay = named.select(F.coalesce("row.id", F.lit(-1)).alias("_no"), F.col("row.no").alias("_null"), F.col("row.th").alias("_th"))

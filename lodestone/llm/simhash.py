@@ -11,8 +11,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodestone.llm.arrays import U64
 from lodestone.llm.chunks import checkpoint
@@ -80,8 +78,9 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _ties(fp: np.ndarray, left: np.ndarray, who: np.ndarray, low: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes that share a variant. left: flips each fingerprint may still make among its ``low`` lowest bits."""
+def collisions(fp: np.ndarray, left: np.ndarray, who: np.ndarray, low: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Variants that more than one node makes, sorted, and the nodes that make them, sorted within a variant. left: flips
+    each fingerprint may still make among its ``low`` lowest bits."""
     if len(fp) < 2:
         return
     most = int(left.max())
@@ -91,7 +90,7 @@ def _ties(fp: np.ndarray, left: np.ndarray, who: np.ndarray, low: int) -> Iterat
         for bit in (0, 1):  # the variants that have this bit
             other = top != U64(bit)
             keep = ~other | (left > 0)
-            yield from _ties(fp[keep], (left - other)[keep], who[keep], low - 1)
+            yield from collisions(fp[keep], (left - other)[keep], who[keep], low - 1)
         return
     mask = U64((1 << low) - 1)
     variants, owners = [], []
@@ -102,11 +101,17 @@ def _ties(fp: np.ndarray, left: np.ndarray, who: np.ndarray, low: int) -> Iterat
             variants.append(((fp[mine] & mask)[:, None] ^ m[None, :]).ravel())
             owners.append(np.repeat(who[mine], len(m)))
     v, o = np.concatenate(variants), np.concatenate(owners)
-    order = np.argsort(v)
-    v, o = v[order], o[order]
-    same = np.flatnonzero(v[1:] == v[:-1])
-    if len(same):
-        yield o[same], o[same + 1]
+    bits = int(who.max()).bit_length()
+    if low + bits <= 64:
+        packed = np.sort((v << U64(bits)) | o.astype(U64))
+        v, o = packed >> U64(bits), (packed & U64((1 << bits) - 1)).astype(np.int64)
+    else:
+        order = np.lexsort((o, v))
+        v, o = v[order], o[order]
+    same = v[1:] == v[:-1]
+    some = np.concatenate((same, [False])) | np.concatenate(([False], same))
+    if some.any():
+        yield v[some], o[some]
 
 
 def links(fps: DataFrame, radius: int = 4, prefix_bits: int = PREFIX_BITS) -> DataFrame:
@@ -115,9 +120,8 @@ def links(fps: DataFrame, radius: int = 4, prefix_bits: int = PREFIX_BITS) -> Da
     fps: (fp, rep), a row for each distinct fingerprint. Meet in the middle: two fingerprints differ in at most
     ``radius`` bits exactly if they share a variant within half of it from each. Every fingerprint sends itself to
     each group of variants that have the same leading bits (by flipping up to half the radius of these bits); the
-    group makes the variants, with the flips that are left, sorts them, and ties the owners of equal ones, which are
-    links by the triangle inequality, so no pair needs verifying and none is emitted: a group returns a forest, at
-    most one edge for a fingerprint.
+    group makes the variants, with the flips that are left, sorts them, and ties the owners of equal ones once their
+    distance is verified. No pair is emitted: a group returns a forest, at most one edge for a fingerprint.
     """
     if radius % 2:
         raise ValueError("the radius must be even")
@@ -133,7 +137,11 @@ def links(fps: DataFrame, radius: int = 4, prefix_bits: int = PREFIX_BITS) -> Da
         away = np.bitwise_count((fp >> U64(64 - p)) ^ U64(int(pdf["g"].iloc[0])))
         low = 64 - p
         root = np.arange(len(fp))
-        for a, b in _ties(fp, half - away.astype(np.int64), np.arange(len(fp)), low):
+        for v, o in collisions(fp, half - away.astype(np.int64), np.arange(len(fp)), low):
+            at = np.flatnonzero(v[1:] == v[:-1])
+            a, b = o[at], o[at + 1]
+            near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
+            a, b = a[near], b[near]
             root = _roots(len(fp), np.concatenate((a, np.arange(len(fp)))), np.concatenate((b, root)))
         tied = np.flatnonzero(root != np.arange(len(fp)))
         return pd.DataFrame({"a": rep[tied], "b": rep[root[tied]]})
@@ -164,26 +172,6 @@ def components(nodes: DataFrame, radius: int) -> DataFrame:
     return named.join(names, "c").select("fp", "component")
 
 
-def one_of_each(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of simhash_components(): the one with the smallest id, unchanged. Of rows that repeat
-    it one stays; of rows with null ids one for each fingerprint that no id has or links to."""
-    fps = checkpoint(fingerprints(docs, words, id_col, text_col))
-    comps = checkpoint(components(checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))), radius))
-    stay = comps.select(F.col("component").alias("_stays")).where("_stays is not null").distinct()
-    found = docs.join(stay, F.col(id_col).cast("long") == F.col("_stays"), "left_semi").dropDuplicates([id_col])
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("fp", T.LongType())])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([fingerprint(t, words) for t in b.column(1).cast(pa.binary()).to_pylist()], dtype=U64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(arrow.field("row").type), pa.array(fps)], schema=arrow)
-
-    nameless = docs.where(F.col(id_col).cast("long").isNull()).select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
-    nameless = nameless.join(comps.where("component is null"), "fp", "left_semi").dropDuplicates(["fp"]).select("row.*")
-    return found.unionByName(nameless)
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of documents, shingles of 4 words, links of at most 4 bits."""
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

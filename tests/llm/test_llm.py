@@ -68,9 +68,6 @@ def test_simhash(spark, awkward):
         least[r] = min(least.get(r, math.inf), ORDER(i))
     want = Counter((i, format(fp(t), "016x"), None if least[root[fp(t)]] == math.inf else least[root[fp(t)]]) for i, t, *_ in rows)
     assert Counter(tuple(r)[:3] for r in simhash.simhash_components(df).collect()) == want
-    stay = simhash.one_of_each(df)
-    assert stay.columns == df.columns
-    assert sorted(r["doc_id"] for r in stay.collect() if r["doc_id"] is not None) == sorted({c for _, _, c in want if c is not None})
 
 
 def test_simhash_links_are_all_found(spark):
@@ -334,7 +331,7 @@ def test_quoted_counts_less():
     assert said < meant and 0 < typo < meant
 
 
-@pytest.mark.parametrize("run", [simhash.simhash_components, substring_dedup.substring_dedup, suffix_dedup.suffix_dedup, mixing.mix, packing.pack_documents, katz.katz_scores, simhash.one_of_each, suffix_dedup.with_repeats_cut, mixing.mixed])
+@pytest.mark.parametrize("run", [simhash.simhash_components, substring_dedup.substring_dedup, suffix_dedup.suffix_dedup, mixing.mix, packing.pack_documents, katz.katz_scores, near_copies.one_of_each, suffix_dedup.with_repeats_cut, mixing.mixed])
 def test_empty(nothing, run):
     assert run(nothing).count() == 0
 
