@@ -83,19 +83,50 @@ def _round(units: DataFrame, level: int) -> DataFrame:
     return checkpoint(folded.select("source", "node", "r.carry", "r.done"))
 
 
+#: Documents of a source and a class of sizes that may be taken once more or less at the end, and how often that is done.
+SPARE = 8
+TURNS = 2
+
+
+def _settle(state: DataFrame, goals: DataFrame) -> DataFrame:
+    """(source, id, size, by): documents taken once more (1) or less (-1), which brings each source nearer its target.
+
+    SPARE documents for each doubling of the size stand by in either direction, chosen by hash with partial
+    aggregation; from the longest on, each is used that fits in what is left or nearly so."""
+    taken = state.groupBy("source").agg(F.sum(F.col("size") * (F.col("whole") * F.col("n") + F.col("extra"))).alias("taken"))
+    off = taken.alias("t").join(goals.alias("g"), F.expr("t.source <=> g.source")).select("g.source", (F.col("target") - F.col("taken")).alias("off"))
+    off = off.select("source", F.signum("off").cast("int").alias("by"), F.abs("off").alias("left"))
+    ways = F.array(F.when(F.col("extra") < F.col("n"), F.lit(1)), F.when(F.col("extra") > 0, F.lit(-1)))
+    spare = state.where("p > 0 and size > 0").select("source", "id", "size", F.explode(ways).alias("by")).where("by is not null")
+    draw = F.xxhash64(F.lit(SEED + 2), "id", "size")
+    some = spare.groupBy("source", "by", F.floor(F.log2("size")).alias("class"), F.pmod(draw, F.lit(SPARE)).alias("salt")).agg(F.min(F.struct(draw.alias("draw"), "size", "id")).alias("unit"))
+    lists = some.groupBy("source", "by").agg(F.sort_array(F.collect_list(F.struct("unit.size", "unit.id")), asc=False).alias("units"))
+    start = F.struct(F.col("left").alias("left"), F.array().cast("array<struct<size:bigint,id:bigint>>").alias("used"))
+
+    def use(acc: Column, u: Column) -> Column:
+        fits = u["size"] <= acc["left"] * 1.125
+        return F.struct(F.when(fits, acc["left"] - u["size"]).otherwise(acc["left"]).alias("left"), F.when(fits, F.concat(acc["used"], F.array(u))).otherwise(acc["used"]).alias("used"))
+
+    both = lists.alias("l").join(off.alias("o"), F.expr("l.source <=> o.source and l.by = o.by")).select("l.source", "l.by", "units", "left")
+    return both.select("source", "by", F.explode(F.aggregate("units", start, use)["used"]).alias("u")).select("source", "u.id", "u.size", "by")
+
+
 def decide(sized: DataFrame) -> DataFrame:
-    """(source, id, size, copies, source_size, target) for each distinct (source, id, size) of sized.
+    """(source, id, size, n, whole, extra, source_size, target) for each distinct (source, id, size) of sized: of its n rows
+    each is taken ``whole`` times, and ``extra`` of them once more.
 
     Every document of a source has the same fractional number of copies, target / source_size. The whole part is
     taken; the fractional parts are rounded by pivotal sampling in a tree: nodes of about FAN_IN documents, dealt by
     hash, round them against each other and pass one unrounded document up, until one is left of each source. Mass
-    moves in words, so the words taken of a source differ from its target by less than the one document rounded
-    last, mostly a short one. Equal rows (source, id, size) are one unit. Documents without words are rounded on their own.
+    moves in words, so what a source then is off by is a part of the one document rounded last; _settle() makes up
+    for that. Of n equal rows the whole part of n fractions is taken, and one row stands for the rest in the tree.
+    Documents without words are rounded on their own.
     """
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = checkpoint(targets(per_source).withColumn("f", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))))
     units = sized.groupBy("source", "id", "size").agg(F.count("*").alias("n")).alias("u").join(goals.alias("g"), F.expr("u.source <=> g.source"))
-    units = checkpoint(units.select("u.source", "id", "size", "n", "source_size", "target", F.floor("f").alias("whole"), (F.col("f") - F.floor("f")).alias("p")))
+    units = units.select("u.source", "id", "size", "n", "source_size", "target", F.floor("f").alias("whole"), ((F.col("f") - F.floor("f")) * F.col("n")).alias("part"))
+    units = checkpoint(units.withColumn("sure", F.floor("part")).withColumn("p", F.col("part") - F.col("sure")).drop("part"))
     open_ = units.where("p > 0 and size > 0")
     nodes = open_.groupBy("source").agg(F.ceil(F.count("*") / FAN_IN).alias("nodes"))
     most = nodes.agg(F.max("nodes")).first()[0] or 0
@@ -103,7 +134,7 @@ def decide(sized: DataFrame) -> DataFrame:
     level = dealt.select(
         "u.source",
         F.pmod(F.xxhash64(F.lit(SEED + 1), "id", "size"), F.col("nodes")).alias("node"),
-        F.struct((F.col("size") * F.col("n")).cast("double").alias("s"), "id", "size", "p").alias("unit"),
+        F.struct(F.col("size").cast("double").alias("s"), "id", "size", "p").alias("unit"),
     )
     decided = []
     for k in range(64):
@@ -120,28 +151,52 @@ def decide(sized: DataFrame) -> DataFrame:
         rounded = rounded.unionByName(d)
     joined = units.alias("u").join(rounded.alias("r"), F.expr("u.source <=> r.source and u.id <=> r.id and u.size = r.size"), "left")
     alone = _uniform(F.lit(-2), F.col("u.source"), F.col("u.id")) < F.col("p")
-    copies = F.col("whole") + F.coalesce(F.col("r.more"), alone & (F.col("p") > 0)).cast("long")
-    return joined.select("u.source", "u.id", "u.size", copies.alias("copies"), "source_size", "target")
+    extra = F.col("sure") + F.coalesce(F.col("r.more"), alone & (F.col("p") > 0)).cast("long")
+    state = checkpoint(joined.select("u.source", "u.id", "u.size", "n", "whole", "p", extra.alias("extra"), "source_size", "target"))
+    for _ in range(TURNS):
+        again = _settle(state, goals)
+        joined = state.alias("u").join(again.alias("a"), F.expr("u.source <=> a.source and u.id <=> a.id and u.size = a.size"), "left")
+        state = checkpoint(joined.select("u.source", "u.id", "u.size", "n", "whole", "p", (F.col("extra") + F.coalesce("a.by", F.lit(0))).alias("extra"), "source_size", "target"))
+    return state.drop("p")
+
+
+def with_copies(rows: DataFrame, made: DataFrame) -> DataFrame:
+    """rows (with source, id, size and maybe more) with copies, source_size and target. Equal rows are numbered, as far as
+    there are any: within partitions of a checkpoint, so that a row that repeats very often isn't one task's."""
+    key = "s.source <=> m.source and s.id <=> m.id and s.size = m.size"
+    columns = [F.col(f"s.{c}") for c in rows.columns]
+    one = rows.alias("s").join(made.where("n = 1").alias("m"), F.expr(key)).select(*columns, (F.col("whole") + F.col("extra")).alias("copies"), "source_size", "target")
+    many = made.where("n > 1")
+    if many.isEmpty():
+        return one
+    same = checkpoint(rows.alias("s").join(many.alias("m"), F.expr(key)).select(*columns, "whole", "extra", "source_size", "target"))
+    same = same.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    unit = ["source", "id", "size"]
+    before = Window.partitionBy(*unit).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = same.groupBy(*unit, "_part").agg(F.count("*").alias("_rows")).withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    placed = same.withColumn("_nth", F.row_number().over(Window.partitionBy(*unit, "_part").orderBy("_at")))
+    joined = placed.alias("s").join(parts.alias("m"), F.expr(f"{key} and s._part = m._part"))
+    more = (F.col("_before") + F.col("_nth") <= F.col("extra")).cast("long")
+    return one.unionByName(joined.select(*columns, (F.col("whole") + more).alias("copies"), "source_size", "target"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) for every row of docs.
 
     size: words; taken: copies * size, at most 3 times the size. A null text has no words; a null source is a source
-    of its own, the last; null ids are an id. Equal rows get equal copies. Without any words all targets are 0.
+    of its own, the last; null ids are an id. Of equal rows some may get one copy more than others. Without any words
+    all targets are 0.
     """
     sized = checkpoint(docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("id"), word_count(F.col(text_col).cast("string")).alias("size")))
-    made = decide(sized)
-    joined = sized.alias("s").join(made.alias("m"), F.expr("s.source <=> m.source and s.id <=> m.id and s.size = m.size"))
-    return joined.select(F.col("s.id").alias("doc_id"), "s.size", "source_size", "target", (F.col("copies") * F.col("s.size")).alias("taken"), "copies")
+    out = with_copies(sized, decide(sized))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: every row of docs as often as mix() takes it, with the columns of docs."""
     rows = docs.select(F.struct("*").alias("row"), F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("id"), word_count(F.col(text_col).cast("string")).alias("size"))
-    made = decide(checkpoint(rows.select("source", "id", "size"))).where("copies > 0")
-    joined = rows.alias("s").join(made.alias("m"), F.expr("s.source <=> m.source and s.id <=> m.id and s.size = m.size"))
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth")).select("row.*")
+    taken = with_copies(rows, decide(checkpoint(rows.select("source", "id", "size")))).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth")).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lodestone.llm import arrays, katz, substring_dedup
+from lodestone.llm import arrays, katz, mixing, substring_dedup
 
 DOCS = "doc_id long, text string"
 
@@ -26,3 +26,25 @@ def test_word_hashes_of_any_length():
     buf = np.frombuffer(b" ".join(words + words), np.uint8)
     h = arrays.word_hashes(buf, *arrays.word_spans(buf))
     assert len(np.unique(h)) == len(words) and (h[: len(words)] == h[len(words) :]).all()
+
+
+def off(rows):
+    """How many words each source is off its target, its shortest document that has words, and the target."""
+    out = {}
+    for r in rows:
+        source = r["source_size"], r["target"]
+        taken, _, short = out.get(source, (0, 0, 10**9))
+        out[source] = taken + r["taken"], r["target"], min(short, r["size"] or 10**9)
+    return [(abs(taken - target), short, target) for taken, target, short in out.values()]
+
+
+def test_mixing_splits_equal_rows(spark):
+    rows = [(7, "five words are in here", "a")] * 300 + [(8, "w " * 1100, "b"), (None, "of no id", "b"), (None, "of no id", "b")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    assert len(got) == 303 and all(gap < max(short, 5) for gap, short, _ in off([r for r in got if r["source_size"] == 1500]))
+    assert {r["copies"] for r in got if r["doc_id"] == 7} in ({0, 1}, {1}, {0})
+
+
+def test_mixing_comes_near_with_fifty_documents_a_source(spark):
+    got = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    assert all(gap < 0.01 * target for gap, _, target in off(got))
