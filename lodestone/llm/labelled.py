@@ -22,13 +22,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: st
     """(id, text, y): at most ``most`` labelled documents that are not held out, the same ones each time.
 
     They are the least by a hash of the id; so the side that is broadcast has at most ``most`` rows. Null labels and
-    ids are left out; of several labels of a document the least counts.
+    ids are left out; of several labels of a document the least counts, and of several texts of an id the one that sorts
+    first, so the result has at most ``most`` rows too.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("y").alias("y"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.join(F.broadcast(known), "id")
+    found = texts.join(F.broadcast(known), "id").groupBy("id").agg(F.min(F.struct("text", "y")).alias("row"))
+    return found.select("id", "row.text", "row.y")
 
 
 def buffers(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

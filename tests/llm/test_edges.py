@@ -1,8 +1,11 @@
 """Rows that once gave wrong answers or stopped an operator."""
 
+import math
+import re
+
 import numpy as np
 
-from lodestone.llm import arrays, katz, mixing, substring_dedup
+from lodestone.llm import arrays, katz, mixing, substring_dedup, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -48,3 +51,39 @@ def test_mixing_splits_equal_rows(spark):
 def test_mixing_comes_near_with_fifty_documents_a_source(spark):
     got = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
     assert all(gap < 0.01 * target for gap, _, target in off(got))
+
+
+def one_edit(a, b):
+    """0, 1 or 2 (more): how many characters to add, drop or change."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > 1:
+        return 2
+    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return 1 if a[k + 1 :] == b[k + 1 :] or a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:] else 2
+
+
+def test_toxicity_score_against_a_plain_search():
+    terms = ["idiot", "schwachkopf", "débile", "scum"]
+    weight = np.array([0.0, 1.0, 0.4, 0.9, 0.3, 0.8, 0.2, 0.7, 0.0])
+    m = toxicity.Model(toxicity.compile_lexicon([(t, False) for t in terms]), weight, 2.0, -1.5)
+    rng = np.random.default_rng(9)
+    pool = ["idiot", "Idiot", "idoot", "schwachkopf", "schwächkopf", "débile", "debile", "scum", "scam", "word", "another", "Ärger", "x1", "\"idiot\"", "“scum”"]
+    texts = ["", "\n", "idiot"] + [" ".join(rng.choice(pool, int(rng.integers(1, 60)), p=[0.02] * 9 + [0.195] * 4 + [0.02] * 2)) for _ in range(60)]
+    want = []
+    for t in texts:
+        low = t.lower()
+        words = [(w[0], w.start(), w.end()) for w in re.finditer(r"[^\W_]+", low)]
+        hits = []
+        for k, (w, _, _) in enumerate(words):
+            found = min(((e, i) for i, x in enumerate(terms) if (e := one_edit(w, x)) == 0 or e == 1 and len(x) >= toxicity.FUZZY), default=None)
+            if found and weight[1 + 2 * found[1] + found[0]] > 0:
+                hits.append((k, weight[1 + 2 * found[1] + found[0]]))
+        total = 0
+        for k, x in hits:
+            near = sum(abs(k - o) <= toxicity.CONTEXT for o, _ in hits) - 1
+            a, b = words[max(0, k - toxicity.CONTEXT)][1] - 1, words[min(len(words) - 1, k + toxicity.CONTEXT)][2] + 1
+            quoted = any(q in low[max(a, 0) : words[k][1]] for q in '"“”') and any(q in low[words[k][2] : b] for q in '"“”')
+            total += x * (toxicity.QUOTED if quoted else 1 + toxicity.COMPANY * min(3, near))
+        want.append(1 / (1 + math.exp(-(2.0 * math.log1p(total) - 1.5))))
+    assert np.allclose(m.score([t.encode() for t in texts]), want)

@@ -282,12 +282,12 @@ def test_nn(spark):
 
 
 def test_automaton():
-    terms = [(b"idiot", False), (b"scum", False), (b"lowei", True), (b"pathetic", False)]
+    terms = [("idiot", False), ("scum", False), ("lowei", True), ("pathetic", False), ("blöder", False), ("münste", True)]
     a = toxicity.compile_lexicon(terms)
-    words = [b"idiot", b"idiots", b"idoit", b"id1ot", b"diot", b"iidiot", b"idioo", b"scum", b"scun", b"loweisch", b"lowex", b"pathetc", b"path", b"x", b"lower", b"idixx"]
-    buf = np.frombuffer(b" ".join(words), np.uint8)
+    words = ["idiot", "idiots", "idoit", "id1ot", "diot", "iidiot", "idioo", "scum", "scun", "loweisch", "lowex", "pathetc", "path", "x", "lower", "idixx", "bloder", "blöder", "blödr", "blader", "munster", "mönster", "monster", "idiöt"]
+    _, points, _ = toxicity.characters([" ".join(words).encode()])
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    out = a.run(buf, ends - [len(w) for w in words], ends)
+    out = a.run(points, ends - [len(w) for w in words], ends)
 
     def distance(s, t):
         row = list(range(len(t) + 1))
@@ -326,7 +326,7 @@ def test_classifiers(spark, awkward, nothing):
 
 
 def test_quoted_counts_less():
-    m = toxicity.Model(toxicity.compile_lexicon([(b"idiot", False)]), np.array([0.0, 1.0, 0.5]), 1.0, 0.0)
+    m = toxicity.Model(toxicity.compile_lexicon([("idiot", False)]), np.array([0.0, 1.0, 0.5]), 1.0, 0.0)
     said, meant, typo = m.sums([b'he wrote "you idiot" and left', b"you idiot go away", b"you idiott go away"])
     assert said < meant and 0 < typo < meant
 
@@ -479,6 +479,6 @@ def test_pipeline_drops_near_copies_and_keeps_unlike_texts_of_one_id(spark):
 
 
 def test_toxicity_of_a_text_does_not_depend_on_its_neighbours():
-    m = toxicity.Model(toxicity.compile_lexicon([(b"idiot", False)]), np.array([0.0, 1.0, 0.5]), 1.0, 0.0)
+    m = toxicity.Model(toxicity.compile_lexicon([("idiot", False)]), np.array([0.0, 1.0, 0.5]), 1.0, 0.0)
     texts = [b"you idiot", b"idiot you are an idiot", b"", b"plain", b"what an idiot"]
     assert m.sums(texts).tolist() == [m.sums([t])[0] for t in texts]
