@@ -18,7 +18,7 @@ from lodestone.llm.arrays import U64
 from lodestone.llm.chunks import checkpoint, release
 from lodestone.llm.components import connected_components
 from lodestone.llm.labelled import buffers
-from lodestone.llm.simhash import collisions, flips
+from lodestone.llm.simhash import _roots, collisions, flips
 
 #: Words of a shingle.
 WORDS = 5
@@ -28,8 +28,10 @@ RADIUS = 4
 MISSED = 0.005
 #: Bits that a short text's fingerprints differ in beyond the limit of many shingles, as a share.
 SHORT_TEXTS = 0.02
-#: Bits of all fingerprints together, at least: they tell whether a pair that met is worth verifying.
-WIDE = 256
+#: Further bits that tell whether a pair that met is worth verifying.
+CHECK = 128
+#: Fingerprints that a group has, at most.
+GROUP = 1 << 20
 #: Sets of a block that are compared in one piece; of more, pieces are compared with each other.
 PIECE = 1024
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -43,12 +45,14 @@ def differing(similarity: float) -> float:
 
 def shape(rows: int, similarity: float) -> tuple[int, int, int]:
     """(fingerprints, bits of one, leading bits that name a group): a bit for each doubling of the rows, so that few
-    unlike texts meet, and as many fingerprints as MISSED asks for."""
-    doublings = max(1, rows).bit_length()
-    bits = min(56, max(24, doublings + 14))
+    unlike texts meet, as many fingerprints as MISSED asks for, and groups of GROUP at most."""
+    bits = min(56, max(24, max(1, rows).bit_length() + 14))
     p = differing(similarity) + SHORT_TEXTS
     meet = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(RADIUS + 1))
-    return max(math.ceil(math.log(MISSED) / math.log(1 - meet)), -(-WIDE // bits)), bits, min(12, max(4, doublings - 13))
+    prefix = 0
+    while rows * sum(math.comb(prefix, k) for k in range(RADIUS // 2 + 1)) >> prefix > GROUP:
+        prefix += 1
+    return math.ceil(math.log(MISSED) / math.log(1 - meet)), bits, prefix
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
@@ -74,38 +78,46 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
 
 
 def fingerprints(shingles: np.ndarray, number: int, bits: int) -> list[int]:
-    """SimHash fingerprints of a set that isn't empty: bit by bit, whether it is set in over half of the shingles' hashes."""
-    words = -(-number * bits // 64)
-    salt = A.mix(np.arange(1, words + 1, dtype=U64) * U64(0xD1342543DE82EF95))
-    count = np.zeros(64 * words, dtype=np.int64)
+    """SimHash fingerprints of a set that isn't empty, and CHECK more bits in two longs: bit by bit, whether it is set in
+    over half of the shingles' hashes."""
+    size = number * bits + CHECK
+    salt = A.mix(np.arange(1, -(-size // 64) + 1, dtype=U64) * U64(0xD1342543DE82EF95))
+    count = np.zeros(64 * len(salt), dtype=np.int64)
     for at in range(0, len(shingles), 255):  # so many fit a byte
         x = A.mix(shingles[at : at + 255, None] ^ salt)
         count += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
-    set_ = (2 * count > len(shingles))[: number * bits].reshape(number, bits)
-    return (set_ @ (1 << np.arange(bits, dtype=np.int64))).tolist()
+    set_ = 2 * count > len(shingles)
+    fps = set_[CHECK:size].reshape(number, bits) @ (1 << np.arange(bits, dtype=np.int64))
+    return np.packbits(set_[:CHECK], bitorder="little").view(np.int64).tolist() + fps.tolist()
 
 
-def meeting(groups: DataFrame, bits: int, prefix: int) -> DataFrame:
-    """(a, b): pairs of groups (which, g, fp, s) that share a variant. Of up to four that share one all pairs, of more each
-    with the two least and the next three, so that their number stays in proportion to the collisions."""
+def alike(groups: DataFrame, bits: int, prefix: int, similarity: float) -> DataFrame:
+    """(a, b): a forest for each of groups (which, g, fp, c0, c1, s) over what shares a variant and whose further bits
+    differ by clearly less than those of unlike sets. Of those that share a variant each is held against the two least
+    and the next."""
+    near = differing(similarity)
+    limit = CHECK * (near + 0.4 * (0.5 - near))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("s")
-        fp, s = pdf["fp"].to_numpy().astype(np.int64).view(U64), pdf["s"].to_numpy()
+        fp, c0, c1 = (pdf[c].to_numpy().astype(np.int64).view(U64) for c in ("fp", "c0", "c1"))
+        s = pdf["s"].to_numpy()
         away = np.bitwise_count((fp >> U64(bits - prefix)) ^ U64(int(pdf["g"].iloc[0]))).astype(np.int64)
-        n, pairs = len(fp), [np.zeros(0, dtype=np.int64)]
-        for v, o in collisions(fp, RADIUS // 2 - away, np.arange(n), bits - prefix):
+        every = root = np.arange(len(fp))
+        for v, o in collisions(fp, RADIUS // 2 - away, every, bits - prefix):
             starts = A.starts_of_groups(v)
-            first = np.repeat(starts, np.diff(np.concatenate((starts, [len(v)]))))
-            at = np.arange(len(v))
-            for k in (1, 2, 3):
-                i = np.flatnonzero(v[k:] == v[:-k])
-                pairs.append(o[i] * n + o[i + k])
-            for k in (0, 1):
-                i = at[at > first + k]
-                pairs.append(o[first[i] + k] * n + o[i])
-            pairs = [np.unique(np.concatenate(pairs))]
-        return pd.DataFrame({"a": s[pairs[0] // n], "b": s[pairs[0] % n]})
+            sizes = np.diff(np.concatenate((starts, [len(v)])))
+            first, at = np.repeat(starts, sizes), np.arange(len(v))
+            second = np.minimum(first + 1, at)
+            a = np.concatenate((o[first], o[second], o[np.maximum(at - 1, first)]))
+            b = np.tile(o, 3)
+            some = root[a] != root[b]
+            a, b = a[some], b[some]
+            close = np.bitwise_count(c0[a] ^ c0[b]).astype(np.int64) + np.bitwise_count(c1[a] ^ c1[b]) <= limit
+            if close.any():
+                root = _roots(len(fp), np.concatenate((a[close], every)), np.concatenate((b[close], root)))
+        tied = np.flatnonzero(root != every)
+        return pd.DataFrame({"a": s[tied], "b": s[root[tied]]})
 
     return groups.groupBy("which", "g").applyInPandas(run, "a long, b long")
 
@@ -140,16 +152,32 @@ def ties(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     return out
 
 
+def across(sets: list[np.ndarray], labels: np.ndarray, ask: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """For each set marked in ask one pair with every other label under which a set has at least this similarity to it."""
+    sizes = np.array([len(s) for s in sets])
+    known, code = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    mine, out = np.zeros(len(known), dtype=bool), []
+    for q in np.flatnonzero(ask).tolist():
+        own = code[starts[q] : starts[q] + sizes[q]]
+        mine[own] = True
+        both = np.add.reduceat(mine[code].astype(np.int64), starts)
+        mine[own] = False
+        near = np.flatnonzero((labels != labels[q]) & (both >= similarity * (sizes + sizes[q] - both) - 1e-9))
+        out.extend((q, int(near[i])) for i in np.unique(labels[near], return_index=True)[1])
+    return out
+
+
 def one_of_each(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, unchanged: the one with the smallest id, of a component without ids any one.
 
     Two texts link if the Jaccard similarity of their sets of shingles is at least ``similarity``; texts without a word
     are one component. Equal sets are one node. Each set has several fingerprints (see shape()); sets that meet under
-    one, by variants within half the radius of each, and whose fingerprints together differ by clearly less than those
-    of unlike sets, are in one block. Within a block the sets themselves are compared (hashes of 64 bits for
-    shingles): of a large block pieces with themselves and one common set first; pieces that this leaves in several
-    components meet each other. Rows are told apart by id and text, so rows with one id and unlike texts don't hide
-    each other.
+    one, by variants within half the radius of each, and whose further bits differ by clearly less than those of
+    unlike sets, are in one block. Within a block the sets themselves are compared (hashes of 64 bits for shingles): of
+    a large block pieces with themselves and one common set first; then what this leaves outside the block's largest
+    component is compared with all others. Rows are told apart by id and text, so rows with one id and unlike texts
+    don't hide each other.
     """
     i, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     number, bits, prefix = shape(docs.count(), similarity)
@@ -159,7 +187,7 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
         for b, texts in buffers(batches, 2):
             sets = shingle_sets(texts)
             s = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=U64).view(np.int64)
-            fps = [fingerprints(x, number, bits) if len(x) else [] for x in sets]
+            fps = [fingerprints(x, number, bits) if len(x) else [0, 0] for x in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array(fps, pa.list_(pa.int64()))], schema=schema)
 
     plain = docs.select(i.alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -168,16 +196,12 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
     nodes = checkpoint(rows.groupBy("s").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "th")).alias("row"), F.first("fps").alias("fps")))
 
     masks = flips(list(range(bits - prefix, bits)), RADIUS // 2).view(np.int64).tolist()
-    each = nodes.select("s", F.posexplode("fps").alias("which", "fp")).withColumn("m", F.explode(F.array(*map(F.lit, masks))))
-    groups = each.select("which", F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("m")), bits - prefix).alias("g"), "fp", "s")
-    met = meeting(groups, bits, prefix).distinct()
-    near = differing(similarity)
-    limit = number * bits * (near + 0.4 * (0.5 - near))
-    of = lambda end: nodes.select(F.col("s").alias(end), F.col("fps").alias(f"of_{end}"))
-    far = F.aggregate(F.zip_with("of_a", "of_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    alike = checkpoint(met.join(of("a"), "a").join(of("b"), "b").where(far <= limit).select("a", "b"))
+    each = nodes.select("s", F.col("fps")[0].alias("c0"), F.col("fps")[1].alias("c1"), F.posexplode(F.slice("fps", 3, number)).alias("which", "fp"))
+    each = each.withColumn("m", F.explode(F.array(*map(F.lit, masks))))
+    groups = each.select("which", F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("m")), bits - prefix).alias("g"), "fp", "c0", "c1", "s")
+    forest = checkpoint(alike(groups, bits, prefix, similarity))
     release(docs.sparkSession)
-    blocks = checkpoint(connected_components(alike).select(F.col("id").alias("s"), F.col("component").alias("key")))
+    blocks = checkpoint(connected_components(forest).select(F.col("id").alias("s"), F.col("component").alias("key")))
     sizes = blocks.groupBy("key").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
     met = checkpoint(blocks.join(sizes, "key").select("key", "s", "pieces", F.pmod(F.xxhash64("s"), F.col("pieces")).cast("int").alias("p")))
 
@@ -204,13 +228,26 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id"
     first = met.select("key", "p", "s").unionByName(hubs).join(sets, "s")
     edges = checkpoint(first.groupBy("key", "p").applyInPandas(compare, "a long, b long"))
     comps = checkpoint(connected_components(edges).select(F.col("id").alias("s"), "component"))
-    large = met.where("pieces > 1")
+    large = met.where("pieces > 1").select("key", "s")
     if not large.isEmpty():
-        of = large.join(comps, "s", "left").groupBy("key").agg(F.min(F.coalesce("component", "s")).alias("low"), F.max(F.coalesce("component", "s")).alias("high"))
-        apart = large.join(of.where("low != high").select("key"), "key")
-        dealt = apart.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).where("p != q")
-        dealt = dealt.select("key", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "s").join(sets, "s")
-        more = dealt.groupBy("key", "a", "b").applyInPandas(compare, "a long, b long")
+        labelled = checkpoint(large.join(comps, "s", "left").select("key", "s", F.coalesce("component", "s").alias("label")))
+        main = labelled.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
+        main = main.select("key", F.col("main.label").alias("main"), F.ceil(F.col("main.n") / PIECE).alias("inner"), F.ceil((F.col("n") - F.col("main.n")) / PIECE).alias("outer")).where("outer > 0")
+        dealt = labelled.join(main, "key").withColumn("out", F.col("label") != F.col("main")).withColumn("p", F.pmod(F.xxhash64("s"), F.when(F.col("out"), F.col("outer")).otherwise(F.col("inner"))))
+        outside = F.sequence(F.lit(0).cast("long"), F.col("outer") - 1)
+        # group (i, j): piece i of what is outside with piece j of it, or, j below 0, with a piece of the largest component
+        ours = F.transform(outside, lambda q: F.struct(F.least("p", q).alias("i"), F.greatest("p", q).alias("j")))
+        inner = F.transform(F.sequence(F.lit(1).cast("long"), F.col("inner")), lambda q: F.struct(F.col("p").alias("i"), (-q).alias("j")))
+        theirs = F.transform(outside, lambda q: F.struct(q.alias("i"), (-1 - F.col("p")).alias("j")))
+        dealt = dealt.select("key", "s", "label", "out", F.explode(F.when(F.col("out"), F.concat(ours, inner)).otherwise(theirs)).alias("at")).select("key", "at.*", "s", "label", "out")
+
+        def others(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("s")
+            s = pdf["s"].to_numpy()
+            found = across([np.frombuffer(x, dtype=U64) for x in pdf["set"]], pdf["label"].to_numpy(), pdf["out"].to_numpy(bool), similarity)
+            return pd.DataFrame([(s[a], s[b]) for a, b in found], columns=["a", "b"], dtype="int64")
+
+        more = dealt.join(sets, "s").groupBy("key", "i", "j").applyInPandas(others, "a long, b long")
         comps = connected_components(checkpoint(edges.unionByName(more))).select(F.col("id").alias("s"), "component")
     release(docs.sparkSession)
 
