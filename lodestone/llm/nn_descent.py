@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.chunks import checkpoint, partitions, release
@@ -20,11 +20,13 @@ TREES = 1
 LEAST_TREES = 6
 #: Rounds go on until one changes no more than this share of the edges.
 SETTLED = 0.001
-#: Vectors that the trees' splits are learnt from and that searches may start at, at most.
-SAMPLE = 2048
+#: Vectors that the trees' splits are learnt from and that searches start at: one in SHARE, within these bounds.
+SAMPLE, MOST_SAMPLE, SHARE = 2048, 1 << 15, 64
 #: Nodes that a search keeps, and that it visits in a step.
 BEAM = 384
 WIDTH = 64
+#: Doublings of the length that vectors of one graph differ by, at most.
+RANGE = 2
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -48,7 +50,8 @@ def _best(sim: np.ndarray, k: int) -> np.ndarray:
 
 
 class Trees:
-    """Random hyperplane trees of equal depth, split at the medians of a sample; leaves are numbers."""
+    """Random hyperplane trees of equal depth, split at the medians of a sample, where that has none halfway between two of its
+    vectors; leaves are numbers."""
 
     def __init__(self, x: np.ndarray, depth: int, trees: int = LEAST_TREES, seed: int = 11):
         rng = np.random.default_rng(seed)
@@ -60,7 +63,7 @@ class Trees:
                 direction = a - b if (a != b).any() else rng.normal(size=x.shape[1])
                 side = x @ direction
                 cuts = {int(n): float(np.median(side[leaf == n])) for n in np.unique(leaf)}
-                planes.append((direction, cuts))
+                planes.append((direction, cuts, float((a + b) @ direction / 2)))
                 leaf = 2 * leaf + (side > np.array([cuts[n] for n in leaf.tolist()]))
             self.trees.append(planes)
 
@@ -68,9 +71,9 @@ class Trees:
         out = np.zeros((len(x), len(self.trees)), dtype=np.int64)
         for t, planes in enumerate(self.trees):
             leaf = out[:, t]
-            for direction, cuts in planes:
+            for direction, cuts, halfway in planes:
                 known, first = np.unique(leaf, return_inverse=True)
-                cut = np.array([cuts.get(int(n), 0.0) for n in known])
+                cut = np.array([cuts.get(int(n), halfway) for n in known])
                 leaf = 2 * leaf + (x @ direction > cut[first])
             out[:, t] = leaf
         return out
@@ -79,10 +82,17 @@ class Trees:
 _EDGES = "id long, other array<long>, sim array<float>"
 
 
+def _nearest(pairs: DataFrame, k: int, by: str = "id") -> DataFrame:
+    """(by, near): of pairs (by, d, o) for each ``by`` the k least (d, o), in order. Every task keeps k before they meet, so
+    one that has very many is no burden."""
+    ranked = pairs.withColumn("at", F.dense_rank().over(Window.partitionBy(by).orderBy("d", "o"))).where(F.col("at") <= k)
+    return ranked.groupBy(by).agg(F.sort_array(F.collect_set(F.struct("d", "o"))).alias("near"))
+
+
 def _merge(rows: DataFrame, k: int) -> DataFrame:
-    """(id, other, sim): of all lists of a node the k nearest others, nearest first. A list has at most k entries, and a node a bounded number of lists."""
-    pairs = F.flatten(F.collect_list(F.transform(F.arrays_zip("other", "sim"), lambda p: F.struct((-p["sim"]).alias("d"), p["other"].alias("o")))))
-    near = rows.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(pairs)), 1, k).alias("near"))
+    """(id, other, sim): of all lists of a node the k nearest others, nearest first."""
+    pairs = rows.select("id", F.explode(F.arrays_zip("other", "sim")).alias("e")).select("id", (-F.col("e.sim")).alias("d"), F.col("e.other").alias("o"))
+    near = _nearest(pairs, k)
     return near.select("id", F.transform("near", lambda p: p["o"]).alias("other"), F.transform("near", lambda p: (-p["d"]).cast("float")).alias("sim"))
 
 
@@ -103,7 +113,7 @@ def start_graph(nodes: DataFrame, trees: Trees, k: int) -> DataFrame:
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         x, ids = _matrix(pdf["x"]), pdf["id"].to_numpy()
         if len(ids) < 2:
-            return pd.DataFrame({"id": ids, "other": [[] for _ in ids], "sim": [[] for _ in ids]})
+            return pd.DataFrame({"id": ids[:0], "other": pd.Series([], dtype=object), "sim": pd.Series([], dtype=object)})
         sim = x @ x.T
         np.fill_diagonal(sim, -np.inf)
         top = _best(sim, min(k, len(ids) - 1))
@@ -113,16 +123,12 @@ def start_graph(nodes: DataFrame, trees: Trees, k: int) -> DataFrame:
 
 
 def both_ways(graph: DataFrame, k: int) -> DataFrame:
-    """(id, other): every node's neighbours and up to k of the nodes that have it as a neighbour, the nearest of these.
-
-    These are found by keeping the k least of each task before they meet, so a node that very many have as a neighbour is no burden."""
+    """(id, other): every node's neighbours and up to k of the nodes that have it as a neighbour, the nearest of these."""
     ahead = graph.select("id", F.explode(F.arrays_zip("other", "sim")).alias("e"))
-    back = ahead.select(F.col("e.other").alias("id"), F.struct((-F.col("e.sim")).alias("d"), F.col("id").alias("o")).alias("p"))
-    salted = back.groupBy("id", F.pmod(F.xxhash64(F.col("p.o")), F.lit(16)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("p")), 1, k).alias("ps"))
-    nearest = salted.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ps"))), 1, k).alias("ps"))
+    nearest = _nearest(ahead.select(F.col("e.other").alias("id"), (-F.col("e.sim")).alias("d"), F.col("id").alias("o")), k)
     joined = graph.join(nearest, "id", "full")
     mine = F.coalesce("other", F.array().cast("array<long>"))
-    return joined.select("id", F.array_distinct(F.concat(mine, F.coalesce(F.transform("ps", lambda p: p["o"]), F.array().cast("array<long>")))).alias("other"))
+    return joined.select("id", F.array_distinct(F.concat(mine, F.coalesce(F.transform("near", lambda p: p["o"]), F.array().cast("array<long>")))).alias("other"))
 
 
 def with_vectors(links: DataFrame, nodes: DataFrame, more: DataFrame | None = None) -> DataFrame:
@@ -139,7 +145,7 @@ def with_vectors(links: DataFrame, nodes: DataFrame, more: DataFrame | None = No
 def improve(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """One round of NN-descent: the neighbours of a node are introduced to each other; each keeps the nearest k of old and new.
 
-    A neighbour hears of another only if that is nearer than the farthest it has, and of k of them at most from one node."""
+    A neighbour hears of another only if that is nearer than the farthest it has, and of the k nearest at most from one node."""
     worst = graph.select("id", F.when(F.size("sim") >= k, F.element_at("sim", -1)).otherwise(F.lit(-1e30)).cast("float").alias("worst"))
     met = with_vectors(both_ways(graph, k), nodes, worst)
 
@@ -160,7 +166,8 @@ def improve(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                     ids.append(o[i])
                     others.append(o[top[i][good[i]]])
                     sims.append(near[i][good[i]])
-            yield pd.DataFrame({"id": np.array(ids, dtype="int64"), "other": others, "sim": sims})
+            if ids:
+                yield pd.DataFrame({"id": np.array(ids, dtype="int64"), "other": others, "sim": sims})
 
     news = met.select("others").mapInPandas(introduce, _EDGES)
     return _merge(graph.unionByName(news), k)
@@ -229,9 +236,11 @@ def nearest(df: DataFrame, query: F.Column, k: int = 20, id_col: str = "vec_id",
     (the vector that sorts first counts). Vectors that are null, zero, of another length than most, or hold null or
     non-finite components take no part, nor do null ids.
 
-    Equal vectors are one node of the graph. Inner products are made cosines by one more component, so that all
-    nodes have one length (Bachrach et al. 2014); the graph and the search work on these in single precision, and
-    what a search has kept is reranked with the original vectors. Up to BEAM nodes nothing is approximate.
+    Equal vectors are one node of a graph. Inner products are made cosines by one more component, so that all
+    nodes have one length (Bachrach et al. 2014); so that this tells short vectors apart too, those that differ by more
+    than RANGE doublings in length are in graphs of their own, and every query searches each. Graphs and searches work
+    in single precision, and what a search has kept is reranked with the original vectors. Of a range with BEAM nodes
+    or fewer all are reranked, so there nothing is approximate.
     """
     spark = df.sparkSession
     rows = usable(df, id_col, vec_col)
@@ -240,53 +249,73 @@ def nearest(df: DataFrame, query: F.Column, k: int = 20, id_col: str = "vec_id",
     if shape is None:
         return empty
     rows = checkpoint(rows.where(F.size("v") == shape["d"]).groupBy("id").agg(F.min("v").alias("v")))
-    square = F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)
-    classes = rows.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    longest = math.sqrt(classes.agg(F.max(square)).first()[0])
-
-    def lift(batches):
-        for pdf in batches:
-            if len(pdf):
-                v = np.array(pdf["v"].tolist()) / longest
-                x = np.column_stack((v, np.sqrt(np.maximum(0, 1 - (v**2).sum(axis=1))))).astype("<f4")
-                yield pd.DataFrame({"id": pdf["rep"], "v": pdf["v"], "x": [r.tobytes() for r in x]})
-
-    nodes = checkpoint(classes.mapInPandas(lift, "id long, v array<double>, x binary").repartition(partitions(spark), "id"))
-    total = nodes.count()
-    some = nodes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("id", "x").toPandas()
-    sample_ids, sample = some["id"].to_numpy(), _matrix(some["x"])
-    depth = max(0, math.ceil(math.log2(max(1, total / LEAF))))
-    graph = checkpoint(start_graph(nodes, Trees(sample, depth, max(LEAST_TREES, TREES * depth)), NEIGHBOURS))
-    while total > LEAF:
-        better = checkpoint(improve(graph, nodes, NEIGHBOURS))
-        old = graph.select("id", F.col("other").alias("had"))
-        new, graph = better.join(old, "id", "left"), better
-        changed = new.agg(F.sum(F.size(F.array_except("other", F.coalesce("had", F.array().cast("array<long>")))))).first()[0]
-        release(spark)
-        if changed <= SETTLED * NEIGHBOURS * total:
-            break
+    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    scaled = F.aggregate(F.transform("v", lambda x: x / top), F.lit(0.0), lambda a, b: a + b * b)
+    classes = checkpoint(rows.groupBy("v").agg(F.min("id").alias("rep")).withColumn("doublings", F.log2(top) + F.log2(scaled) / 2))
+    longest = classes.agg(F.max("doublings")).first()[0]
+    ranged = classes.withColumn("range", F.floor((F.lit(longest) - F.col("doublings")) / RANGE))
+    sizes = {r["range"]: (r["n"], r["longest"]) for r in ranged.groupBy("range").agg(F.count("*").alias("n"), F.max("doublings").alias("longest")).collect()}
 
     def query_vectors(batches):
         for pdf in batches:
             if len(pdf):
                 v = np.array(pdf["v"].tolist())
+                v /= np.abs(v).max(axis=1)[:, None]
                 x = np.column_stack((v / np.sqrt((v**2).sum(axis=1))[:, None], np.zeros(len(v)))).astype("<f4")
                 yield pd.DataFrame({"qid": pdf["id"], "q": [r.tobytes() for r in x]})
 
     asked = rows.where(query)
-    found = search(asked.mapInPandas(query_vectors, "qid long, q binary"), graph, nodes, (sample_ids, sample))
+    asking = asked.mapInPandas(query_vectors, "qid long, q binary")
+    few = [r for r, (n, _) in sizes.items() if n <= BEAM]
+    found = asked.select(F.col("id").alias("qid")).join(F.broadcast(ranged.where(F.col("range").isin(few)).agg(F.collect_list("rep").alias("found"))), how="cross") if few else None
+    for r, (n, longest) in sorted(sizes.items()):
+        if n > BEAM:
+            nodes = lifted(ranged.where(F.col("range") == r), longest)
+            some = nodes.orderBy(F.xxhash64("id"), "id").limit(min(MOST_SAMPLE, max(SAMPLE, n // SHARE))).select("id", "x").toPandas()
+            starts = some["id"].to_numpy(), _matrix(some["x"])
+            got = search(asking, settled_graph(nodes, n, starts[1]), nodes, starts)
+            found = got if found is None else found.unionByName(got)
     # the k + 1 smallest ids of every class: more can't be among the k nearest
-    ranked = rows.join(classes.select("v", "rep"), "v").select("rep", "id")
-    salted = ranked.groupBy("rep", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"))
-    members = salted.groupBy("rep").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
-    flat = found.select("qid", F.explode("found").alias("rep")).join(nodes.select(F.col("id").alias("rep"), "v"), "rep")
+    of = rows.join(classes.select("v", "rep"), "v").select("rep", F.lit(0).alias("d"), F.col("id").alias("o"))
+    members = _nearest(of, k + 1, "rep").select("rep", F.transform("near", lambda p: p["o"]).alias("ids"))
+    flat = found.select("qid", F.explode("found").alias("rep")).join(classes.select("rep", "v"), "rep")
     mine = flat.join(asked.select(F.col("id").alias("qid"), F.col("v").alias("q")), "qid")
     score = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     near = mine.select("qid", "rep", score.alias("score")).join(members, "rep")
     pairs = near.select("qid", F.explode("ids").alias("id"), "score").where("id != qid")
-    top = pairs.groupBy("qid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("d"), F.col("id").alias("id")))), 1, k).alias("top"))
-    out = top.select("qid", F.posexplode("top").alias("at", "e"))
-    return out.select(F.col("qid").alias("query_id"), (F.col("at") + 1).cast("int").alias("rank"), F.col("e.id").alias("vec_id"), (-F.col("e.d")).alias("score"))
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "id"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("qid").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
+def lifted(classes: DataFrame, longest: float) -> DataFrame:
+    """(id, x): vectors (rep, v, doublings) over the length of the longest, given by its doublings, with one more component that makes their length 1."""
+
+    def lift(batches):
+        for pdf in batches:
+            if len(pdf):
+                v = np.array(pdf["v"].tolist())
+                v /= np.abs(v).max(axis=1)[:, None]
+                v /= np.sqrt((v**2).sum(axis=1))[:, None]
+                v *= np.exp2(pdf["doublings"].to_numpy() - longest)[:, None]
+                x = np.column_stack((v, np.sqrt(np.maximum(0, 1 - (v**2).sum(axis=1))))).astype("<f4")
+                yield pd.DataFrame({"id": pdf["rep"], "x": [r.tobytes() for r in x]})
+
+    return checkpoint(classes.select("rep", "v", "doublings").mapInPandas(lift, "id long, x binary").repartition(partitions(classes.sparkSession), "id"))
+
+
+def settled_graph(nodes: DataFrame, total: int, sample: np.ndarray) -> DataFrame:
+    """The graph of NEIGHBOURS from hyperplane trees, improved until a round changes no more than SETTLED of its edges."""
+    depth = max(0, math.ceil(math.log2(max(1, total / LEAF))))
+    graph = checkpoint(start_graph(nodes, Trees(sample, depth, max(LEAST_TREES, TREES * depth)), NEIGHBOURS))
+    while total > LEAF:
+        better = checkpoint(improve(graph, nodes, NEIGHBOURS))
+        old = graph.select("id", F.col("other").alias("had"))
+        new, graph = better.join(old, "id", "left"), better
+        changed = new.agg(F.sum(F.size(F.array_except("other", F.coalesce("had", F.array().cast("array<long>")))))).first()[0]
+        release(nodes.sparkSession)
+        if (changed or 0) <= SETTLED * NEIGHBOURS * total:
+            break
+    return graph
 
 
 def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,10 @@ import math
 import re
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from lodestone.llm import arrays, katz, mixing, substring_dedup, toxicity
+from lodestone.llm import arrays, katz, mixing, nn_descent, substring_dedup, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -87,3 +89,30 @@ def test_toxicity_score_against_a_plain_search():
             total += x * (toxicity.QUOTED if quoted else 1 + toxicity.COMPANY * min(3, near))
         want.append(1 / (1 + math.exp(-(2.0 * math.log1p(total) - 1.5))))
     assert np.allclose(m.score([t.encode() for t in texts]), want)
+
+
+def lengths(case):
+    rng = np.random.default_rng(12)
+    if case == "ties":
+        return np.eye(700)
+    x = rng.normal(size=(2000, 12))
+    x[77] *= {"one long": 1e6, "very long": 1e150}[case]
+    return x
+
+
+@pytest.mark.parametrize("case", ["ties", "one long", "very long"])
+def test_nearest_of_ties_and_of_very_long_vectors(spark, case):
+    x = lengths(case)
+    n = len(x)
+    df = spark.createDataFrame([(i, v, 5) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, o int")
+    got = {}
+    for r in nn_descent.nearest(df, F.col("id") % 100 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], -r["score"], r["vec_id"]))
+    assert sorted(got) == list(range(0, n, 100))
+    hit = 0
+    for q, rows in got.items():
+        assert [r[0] for r in sorted(rows)] == list(range(1, 21)) and [r[1:] for r in sorted(rows)] == sorted(r[1:] for r in rows)
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += sum(-d >= np.sort(s)[-20] * (1 - 1e-12) for _, d, _ in rows)
+    assert hit >= 0.95 * 20 * len(got)
