@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import arrays, katz, mixing, nn_descent, substring_dedup, toxicity
+from lodestone.llm import arrays, itq_dedup, katz, mixing, nn_descent, substring_dedup, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -116,3 +116,17 @@ def test_nearest_of_ties_and_of_very_long_vectors(spark, case):
         s[q] = -np.inf
         hit += sum(-d >= np.sort(s)[-20] * (1 - 1e-12) for _, d, _ in rows)
     assert hit >= 0.95 * 20 * len(got)
+
+
+@pytest.mark.parametrize("rows", [10_000, 1_000_000, 4_000_000])
+def test_tables_find_pairs_at_the_threshold(rows):
+    """Pairs at a cosine of exactly 0.95, the hardest that link, in tables as wide as those of so many rows."""
+    rng = np.random.default_rng(6)
+    d, (width, number) = 64, itq_dedup.table_shape(rows, 0.95)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    a = unit(rng.normal(size=(3000, d)))
+    w = rng.normal(size=a.shape)
+    b = 0.95 * a + np.sqrt(1 - 0.95**2) * unit(w - (w * a).sum(axis=1)[:, None] * a)
+    turns = [itq_dedup.itq(a, seed) for seed in range(-(-width * number // d))]
+    x, y = (itq_dedup.table_keys(np.hstack([(v - m) @ t > 0 for m, t in turns]).astype(np.int64), width, number) for v in (a, b))
+    assert (x == y).any(axis=1).mean() >= 0.99
