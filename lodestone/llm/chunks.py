@@ -9,7 +9,6 @@ exchange, so a lost executor's part is computed again from the chunks, which are
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,19 +31,22 @@ ASK_SCHEMA = "bucket int, chunk long, blob binary"
 ANSWER_SCHEMA = "chunk long, blob binary"
 
 
+#: Has Spark remove a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df.checkpoint(), in spark.checkpoint.dir; where that is unset (tests), in a folder below the warehouse."""
+    """df.checkpoint(), in spark.checkpoint.dir; where that is unset (tests), in a folder below the warehouse. The shuffle
+    files that led to it are removed: nothing reads them again, and a lost executor's part is read from the checkpoint."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
-
-
-def release(spark: SparkSession) -> None:
-    """Has the driver collect garbage, upon which Spark's cleaner removes the shuffle files of plans that nothing refers
-    to any more, such as those before a checkpoint. Otherwise they stay until the driver's heap happens to fill."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # a query of its own, since what it cleans up is settled when it is made
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -130,8 +132,6 @@ def make_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         out = checkpoint(rows)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", aqe)
-    del rows
-    release(spark)
     return out
 
 

@@ -203,7 +203,6 @@ def katz_scores(docs: DataFrame, training: Callable[[list], np.ndarray] = defaul
         return [list(cols) for cols in zip(*(g[0] for g in got))], [x for g in got for x in g[1]]
 
     grams = C.checkpoint(answered(C.ask(chunks, ask_grams), count))
-    C.release(docs.sparkSession)
     about = _totals(grams, order)
     N, V = about[0][:2]
     d = [good_turing(dict(enumerate(a[2:], 1))) for a in about]
@@ -241,7 +240,7 @@ def katz_scores(docs: DataFrame, training: Callable[[list], np.ndarray] = defaul
             below = (context[k] > 0) & (c == 0)  # what is left after a context depends on the next shorter one
         return out
 
-    # 2. contexts: the mass of their grams, and of these grams without their first word, each gram once
+    # 2. contexts: the mass of their grams, and of these grams without their first word; every gram is sent once, with both counts
     def ask_contexts(row):
         t, count, mine, context = counts_of(row)
         asked = open_contexts(t, count, context)
@@ -249,28 +248,24 @@ def katz_scores(docs: DataFrame, training: Callable[[list], np.ndarray] = defaul
         for k in range(order - 1):
             place = np.append(t.place[k], start_of(k, n))
             at = t.at[k + 1][mine[k + 1]]
-            who = t.context[k][at]
-            mass = np.bincount(who, discounted(count[k + 1][mine[k + 1]], d[k + 1]), minlength=len(place))
-            lower = np.bincount(who, discounted(count[k][t.gram[k][at]], d[k]), minlength=len(place))
-            some = np.flatnonzero(mass)
-            for rows, rest in ((some, [_bits(mass[some]), _bits(lower[some])]), (asked[k], [])):
-                by = np.argsort(place[rows])
-                columns.append((place[rows][by], [c[by] for c in rest]))
+            of = place[t.context[k][at]]
+            by = np.argsort(of)
+            columns += [(of[by], [count[k + 1][mine[k + 1]][by].astype(U64), count[k][t.gram[k][at]][by].astype(U64)]), (np.sort(place[asked[k]]), [])]
         return by_bucket(row["chunk"], columns)
 
     def weigh(parts):
         out: list[list[np.ndarray]] = [[] for _ in parts]
         for k in range(order - 1):
-            keys, mass, lower, asked = ([p[4 * k + i] for p in parts] for i in range(4))
+            keys, long, short, asked = ([p[4 * k + i] for p in parts] for i in range(4))
             code, distinct = pd.factorize(np.concatenate([*keys, *asked]))
             given = sum(map(len, keys))
-            sums = [np.bincount(code[:given], _floats(np.concatenate(x)), minlength=len(distinct)) for x in (mass, lower)]
+            sums = [np.bincount(code[:given], discounted(np.concatenate(c).astype(np.float64), d[j]), minlength=len(distinct)) for c, j in ((long, k + 1), (short, k))]
             places = np.split(code[given:], np.cumsum([len(a) for a in asked])[:-1])
             for o, p in zip(out, places):
                 o += [_bits(s[p]) for s in sums]
         return [o if any(map(len, o)) else None for o in out], None
 
-    contexts = answered(C.ask(known, ask_contexts), weigh)
+    contexts = C.checkpoint(answered(C.ask(known, ask_contexts), weigh))
 
     # 3. the texts, from the lowest order up
     def score(row):

@@ -73,7 +73,6 @@ class FingerprintIndex:
         if not last:
             asked = C.checkpoint(asked)
         answers = C.checkpoint(self._merge_join(asked))
-        C.release(self.spark)
         both = C.with_answers(chunks, answers, "stretches").withColumn("old", F.lit(False))
         everything = both
         if self.texts:

@@ -25,8 +25,6 @@ def _ordered(docs: DataFrame, threshold: int, id_col: str, text_col: str, rest:
     chunks = C.make_chunks(docs, id_col, text_col, rest=rest)
     first = C.with_answers(chunks, R.shared(chunks, spec, n), "among")
     second = C.checkpoint(C.answer(R.asked_stretches(first, spec, n, "among"), lambda i, b: R.settle_stretches(i, b)[0]))
-    del first
-    C.release(spark)
     both = C.with_answers(chunks, second, "stretches")
     third = C.answer(R.asked_windows(both, spec, n, "stretches"), R.settle_windows)
     both = C.with_answers(both, third, "windows")
