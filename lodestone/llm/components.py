@@ -8,30 +8,44 @@ from pyspark.sql import functions as F
 from lodestone.llm.chunks import checkpoint
 
 
+#: A node is a hub with more than one in SHARE of the edges, and with more than LEAST: then there are at most 2 SHARE hubs.
+SHARE, LEAST = 1000, 500
+
+
+def _with_least(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """edges (a, b) with m, the least that low (a, m, n) has for a. The few hubs, whose number is bounded, are broadcast; so no
+    task gets all edges of one."""
+    hub = F.col("n") > max(LEAST, total // SHARE)
+    hubs = low.where(hub).select("a", F.col("m").alias("of_hub"))
+    tagged = edges.join(F.broadcast(hubs), "a", "left")
+    plain = tagged.where("of_hub is null").select("a", "b").join(low.where(~hub).select("a", "m"), "a")
+    return plain.select("a", "b", "m").unionByName(tagged.where("of_hub is not null").select("a", "b", F.col("of_hub").alias("m")))
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) for every node of edges (a, b): the smallest node that it can reach.
 
     Large-star and small-star steps (Kiveris et al. 2014): each ties nodes to the least of their neighbours; the
     number of edges never grows, and a few rounds suffice for long chains. Least neighbours are found by partial
-    aggregation and joined back, so a node with very many neighbours isn't gathered in one task. Every round is
+    aggregation and joined back, for hubs by broadcast, so a node with very many neighbours isn't gathered in one task. Every round is
     checkpointed; the driver sees only counts. Null ends and loops are left out; an edge list may hold repeats.
     Raises if ``rounds`` don't suffice, which would mean an error here.
     """
     a, b = F.col("a").cast("long"), F.col("b").cast("long")
     at = checkpoint(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a is not null and b is not null and a != b").distinct())
-    seen = None
+    seen, total = None, at.count()
     for _ in range(rounds):
         # large star: every larger neighbour of a node is tied to the least of the node and its neighbours
         both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both, low, total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its smaller neighbours are tied to the least of these
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        pairs = _with_least(large, low, total).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         at = checkpoint(pairs.unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct())
         state = at.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             roots = at.select(F.col("b").alias("a"), "b").distinct()
             return at.unionByName(roots).select(F.col("a").alias("id"), F.col("b").alias("component"))
-        seen = state
+        seen, total = state, state[0]
     raise RuntimeError("components did not settle")

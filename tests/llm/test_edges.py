@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import arrays, itq_dedup, katz, mixing, nn_descent, substring_dedup, toxicity
+from lodestone.llm import arrays, components, itq_dedup, katz, mixing, nn_descent, quality, substring_dedup, toxicity
 
 DOCS = "doc_id long, text string"
 
@@ -130,3 +130,32 @@ def test_tables_find_pairs_at_the_threshold(rows):
     turns = [itq_dedup.itq(a, seed) for seed in range(-(-width * number // d))]
     x, y = (itq_dedup.table_keys(np.hstack([(v - m) @ t > 0 for m, t in turns]).astype(np.int64), width, number) for v in (a, b))
     assert (x == y).any(axis=1).mean() >= 0.99
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "LEAST", 3)
+    monkeypatch.setattr(components, "SHARE", 10)
+    rng = np.random.default_rng(3)
+    edges = [(5000, int(i)) for i in rng.permutation(2000)[:900]] + [(7000, int(i)) for i in range(3000, 3400)] + [(int(a), int(a) + 1) for a in range(4000, 4040)] + [(7000, 4010)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {x: top(x) for x in list(root)}
+
+
+def test_factorisation_machine_against_every_pair():
+    rng = np.random.default_rng(4)
+    m, size = 6, 40
+    fm = quality.FactorisationMachine(0.3, rng.normal(size=size), rng.normal(size=(size, quality.RANK)), None, None)
+    x = rng.normal(size=(m, size)) * (rng.random((m, size)) < 0.4)
+    d, j = np.nonzero(x)
+    want = [0.3 + fm.w @ r + sum(fm.v[a] @ fm.v[b] * r[a] * r[b] for a in range(size) for b in range(a)) for r in x]
+    assert np.allclose(fm.raw(d, j, x[d, j], m)[0], want)
