@@ -35,20 +35,26 @@ ANSWER_SCHEMA = "chunk long, blob binary"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df.checkpoint(), in spark.checkpoint.dir; where that is unset (tests), in a folder below the warehouse. The shuffle
-    files that led to it are removed: nothing reads them again, and a lost executor's part is read from the checkpoint."""
+def cleaned(df: DataFrame) -> DataFrame:
+    """df as a query of its own, whose shuffle files are removed when it ends."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        return df.select("*").checkpoint()  # a query of its own, since what it cleans up is settled when it is made
+        return df.select("*")  # what a query cleans up is settled when it is made
     finally:
         spark.conf.set(CLEANUP, before)
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df.checkpoint(), in spark.checkpoint.dir; where that is unset (tests), in a folder below the warehouse. The shuffle
+    files that led to it are removed: nothing reads them again, and a lost executor's part is read from the checkpoint."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return cleaned(df).checkpoint()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,9 +23,9 @@ RUN_SCHEMA = "bucket int, blob binary"
 
 @dataclass
 class Run:
-    """An immutable sorted run: for each bucket the (window hash, stretch, chunk) of a batch, sorted by hash. old: how many batches it holds."""
+    """An immutable sorted run, a table of the index: for each bucket the (window hash, stretch, chunk) of its batches, sorted by hash."""
 
-    rows: DataFrame
+    name: str
     batches: int
 
 
@@ -46,16 +47,63 @@ class FingerprintIndex:
     verified by the second hash, and where equal minimisers stand in different surroundings, window by window on the
     texts of both sides. When ``fan_in`` runs have the same number of batches, they are compacted to one.
 
-    Runs and texts are DataFrames checkpointed in spark.checkpoint.dir; the index lives as long as the session.
-    ``add`` must get its batches in the order in which the earlier text is to stay.
+    Runs and texts are Parquet tables below ``path``, which all executors share (unset: a new folder in
+    spark.checkpoint.dir, or below the warehouse). A table of its own, written last, lists those that count, so a
+    batch that failed leaves the index as it was; open() goes on with an index, in another session too. ``add`` must
+    get its batches in the order in which the earlier text is to stay.
     """
 
-    def __init__(self, spark: SparkSession, window: int = 20, k: int = 4, fan_in: int = 4, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, window: int = 20, k: int = 4, fan_in: int = 4, buckets: int | None = None, path: str | None = None):
         self.spark, self.fan_in = spark, fan_in
         self.spec = R.Windows("words", window, min(k, window), True)
         self.n = buckets or C.partitions(spark)
+        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        self.path = path or f"{shared.rstrip('/')}/fingerprint-index-{uuid.uuid4().hex}"
         self.runs: list[Run] = []
-        self.texts: list[DataFrame] = []
+        self.texts: list[str] = []
+        self.version = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index that add() left at ``path``."""
+        versions = [int(f.getPath().getName().split("-")[1]) for f in cls._files(spark, path).listStatus(spark._jvm.org.apache.hadoop.fs.Path(path)) if f.getPath().getName().startswith("list-")]
+        complete = [v for v in sorted(versions) if cls._files(spark, path).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/list-{v}/_SUCCESS"))]
+        if not complete:
+            raise FileNotFoundError(f"no index at {path}")
+        rows = spark.read.parquet(f"{path}/list-{complete[-1]}").orderBy("nth").collect()
+        about = next(r for r in rows if r["kind"] == "index")
+        index = cls(spark, about["window"], about["k"], about["fan_in"], about["buckets"], path)
+        index.runs = [Run(r["name"], r["batches"]) for r in rows if r["kind"] == "run"]
+        index.texts = [r["name"] for r in rows if r["kind"] == "text"]
+        index.version = complete[-1]
+        return index
+
+    @staticmethod
+    def _files(spark: SparkSession, path: str):
+        return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _drop(self, name: str) -> None:
+        self._files(self.spark, self.path).delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+
+    def drop(self) -> None:
+        """Removes the index's tables."""
+        self._files(self.spark, self.path).delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path), True)
+
+    def _write(self, rows: DataFrame, kind: str) -> str:
+        name = f"{kind}-{uuid.uuid4().hex}"
+        C.cleaned(rows).write.parquet(f"{self.path}/{name}")
+        return name
+
+    def _read(self, names: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*(f"{self.path}/{n}" for n in names))
+
+    def _list(self) -> None:
+        """Writes down what belongs to the index."""
+        s = self.spec
+        rows = [("index", "", 0, s.window, s.k, self.fan_in, self.n)] + [("run", r.name, r.batches, 0, 0, 0, 0) for r in self.runs] + [("text", t, 0, 0, 0, 0, 0) for t in self.texts]
+        ddl = "nth int, kind string, name string, batches int, window int, k int, fan_in int, buckets int"
+        self.version += 1
+        self.spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], ddl).coalesce(1).write.parquet(f"{self.path}/list-{self.version}")
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True, last: bool = False) -> DataFrame:
         """Removes from docs each word covered by a window that starts earlier: in a batch added before, in a smaller id, or earlier in the same document.
@@ -76,19 +124,12 @@ class FingerprintIndex:
         both = C.with_answers(chunks, answers, "stretches").withColumn("old", F.lit(False))
         everything = both
         if self.texts:
-            before = C.with_answers(self._all_texts(), answers, "stretches", "inner").withColumn("old", F.lit(True))
+            before = C.with_answers(self._read(self.texts), answers, "stretches", "inner").withColumn("old", F.lit(True))
             everything = both.unionByName(before)
         windows = C.answer(R.asked_windows(everything, spec, n, "stretches", "old"), R.settle_windows)
-        out = self._finish(C.with_answers(both, windows, "windows"), with_kept)
+        out = self._finish(C.with_answers(both, C.checkpoint(windows), "windows"), with_kept)
         if not last:
-            self._commit(asked)
-        self.texts.append(chunks)
-        return out
-
-    def _all_texts(self) -> DataFrame:
-        out = self.texts[0]
-        for t in self.texts[1:]:
-            out = out.unionByName(t)
+            self._commit(asked, chunks)
         return out
 
     def _merge_join(self, asked: DataFrame) -> DataFrame:
@@ -109,12 +150,10 @@ class FingerprintIndex:
                 rows.append((i, A.pack(own, ~zero, zero, zero, zero + U64(1))))  # no stretch has that hash
             return pd.DataFrame({"chunk": np.array([r[0] for r in rows], dtype="int64"), "blob": [r[1] for r in rows]})
 
-        old = self.runs[0].rows
-        for r in self.runs[1:]:
-            old = old.unionByName(r.rows)
+        old = self._read([r.name for r in self.runs])
         return asked.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInPandas(merge, C.ANSWER_SCHEMA)
 
-    def _commit(self, asked: DataFrame) -> None:
+    def _commit(self, asked: DataFrame, chunks: DataFrame) -> None:
         def sort(pdf: pd.DataFrame) -> pd.DataFrame:
             blobs = []
             for chunk, b in zip(pdf["chunk"], pdf["blob"]):
@@ -122,22 +161,24 @@ class FingerprintIndex:
                 blobs.append(A.pack(h, s, np.full(len(h), chunk, dtype=U64)))
             return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "blob": [merge_sorted(blobs)]})
 
-        self.runs.append(Run(C.checkpoint(asked.groupBy("bucket").applyInPandas(sort, RUN_SCHEMA)), 1))
+        self.runs.append(Run(self._write(asked.groupBy("bucket").applyInPandas(sort, RUN_SCHEMA), "run"), 1))
+        self.texts.append(self._write(chunks, "text"))
+        self._list()
         self.compact()
 
     def compact(self) -> None:
         """Merges the newest ``fan_in`` runs of equal size into one, again while there are such."""
         while len(self.runs) >= self.fan_in and len({r.batches for r in self.runs[-self.fan_in :]}) == 1:
             tail = self.runs[-self.fan_in :]
-            rows = tail[0].rows
-            for r in tail[1:]:
-                rows = rows.unionByName(r.rows)
 
             def merge(pdf: pd.DataFrame) -> pd.DataFrame:
                 return pd.DataFrame({"bucket": pdf["bucket"].iloc[:1], "blob": [merge_sorted(pdf["blob"].tolist())]})
 
-            merged = C.checkpoint(rows.groupBy("bucket").applyInPandas(merge, RUN_SCHEMA))
+            merged = self._write(self._read([r.name for r in tail]).groupBy("bucket").applyInPandas(merge, RUN_SCHEMA), "run")
             self.runs[-self.fan_in :] = [Run(merged, sum(r.batches for r in tail))]
+            self._list()
+            for r in tail:
+                self._drop(r.name)
 
     def _finish(self, chunks: DataFrame, with_kept: bool) -> DataFrame:
         spec = self.spec
@@ -159,9 +200,10 @@ class FingerprintIndex:
         return R.finish(chunks, pa.schema(fields), ddl, make)
 
 
-def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True) -> DataFrame:
-    """All of docs through a new index, in ``batches`` batches of ascending ids; the result is the same for any number of batches."""
-    index = FingerprintIndex(docs.sparkSession, window)
+def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 3, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = True, fan_in: int = 2) -> DataFrame:
+    """All of docs through a new index, in ``batches`` batches of ascending ids, of which ``fan_in`` are compacted to one run; the
+    result is the same for any number of batches. The index is dropped at the end, as nothing follows."""
+    index = FingerprintIndex(docs.sparkSession, window, fan_in=fan_in)
     cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("long"), [i / batches for i in range(1, batches)] or [1.0], 1000).alias("c")).first()["c"]
     cuts = sorted(set(cuts or [])) if batches > 1 else []
     out, low = None, None
@@ -171,6 +213,7 @@ def substring_dedup(docs: DataFrame, window: int = 20, batches: int = 2, id_col:
         part = part & (i <= cut) if cut is not None else part | i.isNull()
         got = index.add(docs.where(part), id_col, text_col, with_kept, last=cut is None)
         out, low = got if out is None else out.unionByName(got), cut
+    index.drop()
     return out
 
 

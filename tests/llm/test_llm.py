@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -125,16 +126,19 @@ def test_substring(spark, awkward, batches):
     check_substring(substring_dedup.substring_dedup(df, 20, batches, with_kept=False), rows, 20)
 
 
-def test_substring_compacts(spark, awkward):
+def test_substring_compacts_and_goes_on_after_opening(spark, awkward, tmp_path):
     df, rows = awkward
-    index = substring_dedup.FingerprintIndex(spark, fan_in=2)
+    at = f"{tmp_path}/index"
+    index = substring_dedup.FingerprintIndex(spark, fan_in=2, path=at)
     ids = F.col("doc_id")
     parts = [df.where(ids < 10), df.where((ids >= 10) & (ids < 20)), df.where((ids >= 20) & (ids < 102)), df.where((ids >= 102) | ids.isNull())]
     out = None
     for p in parts:
         got = index.add(p, with_kept=False)
         out = got if out is None else out.unionByName(got)
-    assert [r.batches for r in index.runs] == [4]
+        index = substring_dedup.FingerprintIndex.open(spark, at)
+    assert [r.batches for r in index.runs] == [4] and len(index.texts) == 4
+    assert len([f for f in os.listdir(at) if f.startswith("run-")]) == 1
     check_substring(out, rows, 20)
 
 
