@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,18 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(col), dtype="<f4").reshape(len(col), -1)
 
 
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Where each row's list begins and ends in the values, and the values. A null is an empty list."""
+    sizes = np.array(column.value_lengths().fill_null(0), dtype=np.int64)
+    return np.concatenate(([0], np.cumsum(sizes))), column.flatten()
+
+
+def _rows(column: pa.BinaryArray) -> np.ndarray:
+    """_matrix() of a column without nulls, without a copy."""
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].view("<f4").reshape(len(column), -1) if len(column) else np.zeros((0, 1), "<f4")
+
+
 def _best(sim: np.ndarray, k: int) -> np.ndarray:
     """The places of the k largest of each row, largest first."""
     k = min(k, sim.shape[1])
@@ -80,6 +93,7 @@ class Trees:
 
 
 _EDGES = "id long, other array<long>, sim array<float>"
+_PAIRS = pa.schema([("id", pa.int64()), ("d", pa.float32()), ("o", pa.int64())])
 
 
 def _nearest(pairs: DataFrame, k: int, by: str = "id") -> DataFrame:
@@ -89,9 +103,13 @@ def _nearest(pairs: DataFrame, k: int, by: str = "id") -> DataFrame:
     return ranked.groupBy(by).agg(F.sort_array(F.collect_set(F.struct("d", "o"))).alias("near"))
 
 
-def _merge(rows: DataFrame, k: int) -> DataFrame:
-    """(id, other, sim): of all lists of a node the k nearest others, nearest first."""
-    pairs = rows.select("id", F.explode(F.arrays_zip("other", "sim")).alias("e")).select("id", (-F.col("e.sim")).alias("d"), F.col("e.other").alias("o"))
+def _pairs(graph: DataFrame) -> DataFrame:
+    """(id, d, o) for each entry of a graph's lists; d is less the nearer o is."""
+    return graph.select("id", F.explode(F.arrays_zip("other", "sim")).alias("e")).select("id", (-F.col("e.sim")).alias("d"), F.col("e.other").alias("o"))
+
+
+def _merge(pairs: DataFrame, k: int) -> DataFrame:
+    """(id, other, sim): for every node of (id, d, o) the k nearest others, nearest first."""
     near = _nearest(pairs, k)
     return near.select("id", F.transform("near", lambda p: p["o"]).alias("other"), F.transform("near", lambda p: (-p["d"]).cast("float")).alias("sim"))
 
@@ -119,13 +137,12 @@ def start_graph(nodes: DataFrame, trees: Trees, k: int) -> DataFrame:
         top = _best(sim, min(k, len(ids) - 1))
         return pd.DataFrame({"id": ids, "other": list(ids[top]), "sim": list(np.take_along_axis(sim, top, 1))})
 
-    return _merge(rows.groupBy("tree", "leaf", "part").applyInPandas(near, _EDGES), k)
+    return _merge(_pairs(rows.groupBy("tree", "leaf", "part").applyInPandas(near, _EDGES)), k)
 
 
 def both_ways(graph: DataFrame, k: int) -> DataFrame:
     """(id, other): every node's neighbours and up to k of the nodes that have it as a neighbour, the nearest of these."""
-    ahead = graph.select("id", F.explode(F.arrays_zip("other", "sim")).alias("e"))
-    nearest = _nearest(ahead.select(F.col("e.other").alias("id"), (-F.col("e.sim")).alias("d"), F.col("id").alias("o")), k)
+    nearest = _nearest(_pairs(graph).select(F.col("o").alias("id"), "d", F.col("id").alias("o")), k)
     joined = graph.join(nearest, "id", "full")
     mine = F.coalesce("other", F.array().cast("array<long>"))
     return joined.select("id", F.array_distinct(F.concat(mine, F.coalesce(F.transform("near", lambda p: p["o"]), F.array().cast("array<long>")))).alias("other"))
@@ -150,27 +167,24 @@ def improve(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     met = with_vectors(both_ways(graph, k), nodes, worst)
 
     def introduce(batches):
-        for pdf in batches:
-            ids, others, sims = [], [], []
-            for row in pdf["others"]:
-                if len(row) < 2:
+        for b in batches:
+            ends, flat = _lists(b.column(0))
+            x, o, worst = _rows(flat.field("x")), flat.field("o").to_numpy(), flat.field("worst").to_numpy()
+            found = []
+            for s, e in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                if e - s < 2:
                     continue
-                o = np.array([r["o"] for r in row])
-                x = np.frombuffer(b"".join(r["x"] for r in row), dtype="<f4").reshape(len(row), -1)
-                sim = x @ x.T
+                sim = x[s:e] @ x[s:e].T
                 np.fill_diagonal(sim, -np.inf)
                 top = _best(sim, k)
                 near = np.take_along_axis(sim, top, 1)
-                good = near > np.array([r["worst"] for r in row])[:, None]
-                for i in np.flatnonzero(good.any(axis=1)).tolist():
-                    ids.append(o[i])
-                    others.append(o[top[i][good[i]]])
-                    sims.append(near[i][good[i]])
-            if ids:
-                yield pd.DataFrame({"id": np.array(ids, dtype="int64"), "other": others, "sim": sims})
+                i, j = np.nonzero(near > worst[s:e, None])
+                found.append((o[s + i], -near[i, j], o[s + top[i, j]]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], schema=_PAIRS)
 
-    news = met.select("others").mapInPandas(introduce, _EDGES)
-    return _merge(graph.unionByName(news), k)
+    news = met.select("others").mapInArrow(introduce, "id long, d float, o long")
+    return _merge(_pairs(graph).unionByName(news), k)
 
 
 def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, starts: tuple[np.ndarray, np.ndarray], beam: int = BEAM, width: int = WIDTH) -> DataFrame:
@@ -190,28 +204,41 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, starts: tuple
     state_ddl = "qid long, q binary, ids array<long>, sims array<float>, seen array<long>"
     state = checkpoint(queries.select("qid", "q").mapInPandas(begin, state_ddl))
 
+    got_schema = pa.schema([("qid", pa.int64()), ("ids", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32()))])
+    state_schema = pa.schema([("qid", pa.int64()), ("q", pa.binary()), ("ids", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32())), ("seen", pa.list_(pa.int64()))])
+
     def visit(batches):
-        for pdf in batches:
-            ids, sims = [], []
-            for q, row in zip(pdf["q"], pdf["others"]):
-                x = np.frombuffer(b"".join(r["x"] for r in row), dtype="<f4").reshape(len(row), -1)
-                s = x @ np.frombuffer(q, dtype="<f4")
-                ids.append(np.array([r["o"] for r in row], dtype="int64"))
-                sims.append(s)
-            yield pd.DataFrame({"qid": pdf["qid"], "ids": ids, "sims": sims})
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ends, flat = _lists(b.column(2))
+            x, q = _rows(flat.field("x")), _rows(b.column(1))
+            sims = np.einsum("ij,ij->i", x, np.repeat(q, np.diff(ends), axis=0))
+            places = pa.array(ends.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(places, flat.field("o")), pa.ListArray.from_arrays(places, pa.array(sims))], schema=got_schema)
 
     def next_state(batches):
-        for pdf in batches:
-            out = []
-            for qid, q, ids, sims, seen, next_, more in zip(pdf["qid"], pdf["q"], pdf["ids"], pdf["sims"], pdf["seen"], pdf["next"], pdf["more"]):
-                more = [] if more is None else more
-                i = np.concatenate([ids, *(m["ids"] for m in more)])
-                s = np.concatenate([sims, *(m["sims"] for m in more)])
+        for b in batches:
+            if not b.num_rows:
+                continue
+            had, old, old_sims, more = (b.column(b.schema.get_field_index(c)) for c in ("seen", "ids", "sims", "more"))
+            ends, flat = _lists(old)
+            flat, flat_sims = flat.to_numpy(), _lists(old_sims)[1].to_numpy()
+            outer, lists = _lists(more)
+            inner, new = _lists(lists.field("ids"))
+            new, new_sims = new.to_numpy(), _lists(lists.field("sims"))[1].to_numpy()
+            ids, sims = [], []
+            for k in range(b.num_rows):
+                a, e = inner[outer[k]], inner[outer[k + 1]]
+                i = np.concatenate((flat[ends[k] : ends[k + 1]], new[a:e]))
+                s = np.concatenate((flat_sims[ends[k] : ends[k + 1]], new_sims[a:e]))
                 i, first = np.unique(i, return_index=True)
                 s = s[first]
                 o = np.lexsort((i, -s))[:beam]
-                out.append((qid, q, i[o], s[o], np.concatenate([seen, next_])))
-            yield pd.DataFrame(out, columns=["qid", "q", "ids", "sims", "seen"])
+                ids.append(i[o])
+                sims.append(s[o])
+            seen = [np.concatenate((x, y)) for x, y in zip(had.to_numpy(zero_copy_only=False), b.column(b.schema.get_field_index("next")).to_numpy(zero_copy_only=False))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float32())), pa.array(seen, pa.list_(pa.int64()))], schema=state_schema)
 
     unseen = F.filter("ids", lambda i: ~F.array_contains("seen", i))
     done = None
@@ -222,9 +249,9 @@ def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, starts: tuple
         if chosen.isEmpty():
             return done
         todo = chosen.select("qid", "q", F.explode("next").alias("id"))
-        got = todo.join(adjacent, "id").select("qid", "q", "others").mapInPandas(visit, "qid long, ids array<long>, sims array<float>")
+        got = todo.join(adjacent, "id").select("qid", "q", "others").mapInArrow(visit, "qid long, ids array<long>, sims array<float>")
         more = got.groupBy("qid").agg(F.collect_list(F.struct("ids", "sims")).alias("more"))
-        state = checkpoint(chosen.join(more, "qid", "left").mapInPandas(next_state, state_ddl))
+        state = checkpoint(chosen.join(more, "qid", "left").select("qid", "q", "ids", "sims", "seen", "next", "more").mapInArrow(next_state, state_ddl))
 
 
 def nearest(df: DataFrame, query: F.Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
