@@ -20,12 +20,12 @@ LEAF = 320
 TREES = 1
 LEAST_TREES = 6
 #: Rounds go on until one changes no more than this share of the edges.
-SETTLED = 0.001
+SETTLED = 0.01
 #: Vectors that the trees' splits are learnt from and that searches start at: one in SHARE, within these bounds.
 SAMPLE, MOST_SAMPLE, SHARE = 2048, 1 << 15, 64
 #: Nodes that a search keeps, and that it visits in a step.
 BEAM = 384
-WIDTH = 64
+WIDTH = 128
 #: Doublings of the length that vectors of one graph differ by, at most.
 RANGE = 2
 
@@ -161,6 +161,7 @@ def with_vectors(links: DataFrame, nodes: DataFrame, more: DataFrame | None = No
 
 def improve(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """One round of NN-descent: the neighbours of a node are introduced to each other; each keeps the nearest k of old and new.
+    fresh: how many of them it didn't have.
 
     A neighbour hears of another only if that is nearer than the farthest it has, and of the k nearest at most from one node."""
     worst = graph.select("id", F.when(F.size("sim") >= k, F.element_at("sim", -1)).otherwise(F.lit(-1e30)).cast("float").alias("worst"))
@@ -184,7 +185,10 @@ def improve(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], schema=_PAIRS)
 
     news = met.select("others").mapInArrow(introduce, "id long, d float, o long")
-    return _merge(_pairs(graph).unionByName(news), k)
+    pairs = _pairs(graph).withColumn("had", F.lit(True)).unionByName(news.withColumn("had", F.lit(False)))
+    best = pairs.withColumn("at", F.dense_rank().over(Window.partitionBy("id").orderBy("d", "o"))).where(F.col("at") <= k)
+    near = best.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("d", "o"))).alias("near"), F.size(F.collect_set(F.when(F.col("had"), F.col("o")))).alias("kept"))
+    return near.select("id", F.transform("near", lambda p: p["o"]).alias("other"), F.transform("near", lambda p: (-p["d"]).cast("float")).alias("sim"), (F.size("near") - F.col("kept")).alias("fresh"))
 
 
 def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, starts: tuple[np.ndarray, np.ndarray], beam: int = BEAM, width: int = WIDTH) -> DataFrame:
@@ -335,9 +339,8 @@ def settled_graph(nodes: DataFrame, total: int, sample: np.ndarray) -> DataFrame
     graph = checkpoint(start_graph(nodes, Trees(sample, depth, max(LEAST_TREES, TREES * depth)), NEIGHBOURS))
     while total > LEAF:
         better = checkpoint(improve(graph, nodes, NEIGHBOURS))
-        old = graph.select("id", F.col("other").alias("had"))
-        new, graph = better.join(old, "id", "left"), better
-        changed = new.agg(F.sum(F.size(F.array_except("other", F.coalesce("had", F.array().cast("array<long>")))))).first()[0]
+        changed = better.agg(F.sum("fresh")).first()[0]
+        graph = better.drop("fresh")
         if (changed or 0) <= SETTLED * NEIGHBOURS * total:
             break
     return graph
