@@ -96,26 +96,34 @@ def identifiers(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & (F.contains(w, F.lit("_")) | w.rlike("[a-z][A-Z]"))))
 
 
+#: Folders and ends of file names that tell tests. Fixed values.
+TEST_FOLDERS = ["tests", "test", "__tests__"]
+TEST_ENDS = ["_test.rs", "_test.go", "_test.py", "_test.ts", "_test.js", ".test.ts", ".test.tsx", ".test.js", ".test.jsx", ".spec.ts", ".spec.tsx", ".spec.js", ".spec.jsx", "Test.java", "Tests.java", "_spec.rb"]
+
+
 def is_test_path(file: Column) -> Column:
+    """Files below a folder of tests (__tests__ not at the root), or named like tests."""
     path = F.regexp_replace(file, r"\\\\", "/")
     name = F.regexp_extract(path, "([^/]*)$", 1)
-    return path.rlike("(^|/)(tests?|__tests__|spec|testdata)/") | name.rlike(r"^test_") | name.rlike(r"(_test|\.test|_spec|\.spec)\.[a-z]+$")
+    ends = "(?:" + "|".join(e.replace(".", r"\.") for e in TEST_ENDS) + ")$"
+    return path.rlike("^tests?/|/(?:" + "|".join(TEST_FOLDERS) + ")/") | name.rlike(ends) | name.rlike(r"^test_.*\.(?:py|rs)$|^Test.*\.java$")
 
 
-def is_exported(name: Column, visibility: Column, lang: Column) -> Column:
-    """Explicit visibility decides; without it the language's convention."""
-    said = F.lower(visibility)
-    by_rule = F.when(lang == "go", name.rlike("^[A-Z]")).when(lang == "python", ~name.startswith("_")).when(lang == "rust", F.lit(False)).otherwise(F.lit(True))
-    return F.when(said.isNull(), by_rule).otherwise(said.isin("public", "export", "pub"))
+def is_exported(name: Column, visibility: Column, file: Column) -> Column:
+    """Explicit visibility decides; without it the convention of the language, by the file's extension."""
+    tail = F.regexp_extract(name, r"([^.:]*)$", 1)
+    ext = F.regexp_extract(file, r"\.([^./]+)$", 1)
+    by_rule = F.when(ext == "go", tail.rlike("^[A-Z]")).when(ext == "py", tail.rlike("^[^_]")).when(ext == "rs", F.lit(False)).otherwise(F.lit(True))
+    return F.when(visibility.isNull(), by_rule).otherwise(visibility.isin("public", "export", "pub"))
 
 
 #: Extensions of files that hold no source. Fixed values.
-NON_SOURCE = ["md", "mdx", "json", "yaml", "yml", "toml", "lock", "txt", "html", "css", "scss", "svg", "xml", "csv", "sql"]
+NON_SOURCE = ["md", "markdown", "rst", "txt", "yml", "yaml", "toml", "json", "jsonc", "ini", "cfg", "conf", "csv", "tsv", "xml"]
 
 
 def is_non_source(file: Column) -> Column:
-    """Files outside the code base, data, documents and styles."""
-    return file.startswith("<external>") | file.startswith("external:") | F.lower(F.regexp_extract(file, r"\.([^./]+)$", 1)).isin(NON_SOURCE)
+    """Files outside the code base, documents, settings and data."""
+    return (file == "<external>") | file.startswith("external:") | F.lower(F.regexp_extract(file, r"\.([^./]+)$", 1)).isin(NON_SOURCE)
 
 
 def normal_body(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.names import alias_keys, bare_leaf, caller_keys, language, parent_dir, short_hash, tail_segment
+from lodestone.functions.names import alias_keys, bare_leaf, caller_keys, is_exported, language, parent_dir, short_hash, tail_segment
 
 TOP_LEVEL = ["function", "class", "struct", "enum", "trait", "interface", "type", "module", "const", "impl", "macro"]
 
@@ -115,14 +115,19 @@ def unreferenced_files(entities: DataFrame, refs: DataFrame) -> DataFrame:
     return entities.select("file").distinct().join(named.select("file").distinct(), "file", "left_anti").withColumn("confidence", F.lit(1.0))
 
 
+#: Ends of names that are looked up at run time. Fixed values.
+DYNAMIC = ["Plugin", "Handler", "Adapter", "Middleware", "Provider", "Factory", "Service"]
+
+
 def dead_code(entities: DataFrame, refs: DataFrame, entry_files: DataFrame | None = None, least: float = 0.7) -> DataFrame:
     """(file, name, kind, confidence): 0.85 for exported definitions without reference, 0.7 for internal ones, 0.5 where a
-    name looks dynamically found; files that a framework calls (entry_files) are left out."""
+    name looks dynamically found (more than one of DYNAMIC alone); files that a framework calls (entry_files) are left
+    out. Visibility decides what is exported; where it is missing, the language's convention."""
     dead = unreferenced(entities, refs)
     if entry_files is not None:
         dead = dead.join(entry_files.select("file"), "file", "left_anti")
-    dynamic = tail_segment(F.col("name")).rlike("(?:Handler|Controller|Listener|Plugin|Factory|Provider|Middleware)$")
-    exported = F.col("parent").isNull() & ~F.startswith("name", F.lit("_"))
+    dynamic = tail_segment(F.col("name")).rlike(".(?:" + "|".join(DYNAMIC) + ")$")
+    exported = is_exported(F.col("name"), F.col("visibility") if "visibility" in dead.columns else F.lit(None).cast("string"), F.col("file"))
     confidence = F.when(dynamic, 0.5).when(exported, 0.85).otherwise(0.7)
     return dead.select("file", "name", "kind", confidence.alias("confidence")).where(F.col("confidence") >= least)
 

@@ -33,47 +33,59 @@ class Rule:
     kind: str
     severity: str
     pattern: str
-    languages: tuple[str, ...] = ()
+    extensions: tuple[str, ...] = ()
 
 
-#: Security signals: what is found, how grave, where.
+_DYNAMIC = ("py", "js", "ts", "tsx", "jsx", "rb", "php")
+#: Security signals: what is found, how grave, what tells it, and in files of which extensions (none: of any). Fixed values.
 SECURITY = [
-    Rule("eval", "high", r"\beval\s*\(", ("python", "javascript", "typescript", "php", "ruby")),
-    Rule("exec", "high", r"\bexec\s*\(", ("python", "php")),
-    Rule("shell", "high", r"shell\s*=\s*True|os\.system\s*\(|child_process", ()),
-    Rule("sql_concat", "high", r"(?i)(?:select|insert|update|delete)\b[^\n]*['\x22]\s*(?:\+|%)\s*\w", ()),
-    Rule("secret", "high", r"(?i)(?:api[_-]?key|secret|password|token)\s*[:=]\s*['\x22]?[A-Za-z0-9_\-]{8,}", ()),
-    Rule("private_key", "high", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", ()),
-    Rule("weak_hash", "med", r"\b(?:md5|sha1)\s*\(", ()),
-    Rule("insecure_random", "med", r"\bMath\.random\s*\(|\brandom\.random\s*\(", ()),
-    Rule("tls_off", "med", r"verify\s*=\s*False|InsecureSkipVerify:\s*true|rejectUnauthorized:\s*false", ()),
-    Rule("inner_html", "med", r"\.innerHTML\s*=|dangerouslySetInnerHTML", ("javascript", "typescript")),
-    Rule("email", "low", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", ()),
+    Rule("eval_call", "high", r"\beval\s*\(", _DYNAMIC),
+    Rule("exec_call", "high", r"\bexec\s*\(", _DYNAMIC),
+    Rule("pickle_loads", "high", r"pickle\.loads", ("py",)),
+    Rule("subprocess_shell_true", "high", r"subprocess\..*shell\s*=\s*True", ("py",)),
+    Rule("os_system", "high", r"\bos\.system", ("py", "rb")),
+    Rule("hardcoded_password", "high", r"""password\s*=\s*['"]"""),
+    Rule("hardcoded_secret", "high", r"""(?:api_?key|secret)\s*=\s*['"]"""),
+    Rule("fstring_sql", "med", r"""f['"].*SELECT.*\{.*\}""", ("py",)),
+    Rule("concat_sql", "med", r"""\.execute\(\s*['"]\s*SELECT.*\+"""),
+    Rule("tls_verify_false", "med", r"verify\s*=\s*False", ("py",)),
+    Rule("weak_hash", "low", r"\bmd5\b|\bsha1\b"),
 ]
 
 
-def pattern_scan(lines: DataFrame, rules: list[Rule], language: Column | None = None) -> DataFrame:
-    """(file, line, kind, severity): a row for every rule that a line matches; one pass over the lines whatever the rules."""
+def pattern_scan(lines: DataFrame, rules: list[Rule], extension: Column | None = None) -> DataFrame:
+    """(file, line, kind, severity): a row for every rule that a line matches; one pass over the lines whatever the rules.
+    Without ``extension`` every rule holds for every file."""
     hits = []
     for r in rules:
         here = F.col("text").rlike(r.pattern)
-        if r.languages and language is not None:
-            here = here & language.isin(*r.languages)
+        if r.extensions and extension is not None:
+            here = here & extension.isin(*r.extensions)
         hits.append(F.when(here, F.struct(F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"))))
     return lines.select("file", "line", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("file", "line", "h.*")
 
 
-#: Markers of decisions in comments. Fixed values.
-MARKERS = ["WHY", "DECISION", "NOTE", "RATIONALE", "TRADEOFF", "HACK"]
+#: Markers of decisions in comments, and in commit messages. Fixed values.
+MARKERS = ["DECISION", "WHY", "RATIONALE", "TRADEOFF", "ADR", "REJECTED"]
+COMMIT_MARKERS = ["Why", "Decision", "Tradeoff", "Refactor for", "Rationale"]
 
 
 def markers(lines: DataFrame, words: list[str] = MARKERS) -> DataFrame:
     """(file, line, marker, note): comment lines (#, //, --) that start with a marker and a colon, and say something."""
-    pattern = r"(?i)^\s*(?:#|//|--)\s*(" + "|".join(words) + r")\s*:\s*(\S.*?)\s*$"
+    pattern = r"(?i)^\s*(?:#|//|--)\s*(" + "|".join(words) + r"):\s*(\S.*?)\s*$"
     found = lines.where(F.col("text").rlike(pattern))
     return found.select("file", "line", F.upper(F.regexp_extract("text", pattern, 1)).alias("marker"), F.regexp_extract("text", pattern, 2).alias("note"))
 
 
+def commit_markers(messages: DataFrame, words: list[str] = COMMIT_MARKERS) -> DataFrame:
+    """(sha, file, marker, note) from (sha, file, message): lines of a message that start with a marker and a colon, and say
+    something; the marker as ``words`` spells it. A commit without a file stands under HEAD."""
+    pattern = r"(?i)^\s*(" + "|".join(words) + r"):\s*(\S.*?)\s*$"
+    lines = messages.select("sha", F.coalesce("file", F.lit("HEAD")).alias("file"), F.explode(F.split("message", "\r?\n")).alias("text")).where(F.col("text").rlike(pattern))
+    spelt = F.element_at(F.create_map(*(F.lit(x) for w in words for x in (w.lower(), w))), F.lower(F.regexp_extract("text", pattern, 1)))
+    return lines.select("sha", "file", spelt.alias("marker"), F.regexp_extract("text", pattern, 2).alias("note"))
+
+
 @dataclass(frozen=True)
 class Contract:
     """A line that speaks of a service: group ``method`` and ``path`` of the pattern (0: none), or a fixed method."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.engine import Engine, cluster_summary
@@ -192,9 +192,22 @@ def cross_source_cochange(spark, sf_dir):
     return history.cross_repo_cochange(e, 3600, most=None, digits=6)
 
 
-@query("""SELECT file, line FROM lines WHERE length(trim(text)) >= 30 AND NOT regexp_matches(lower(trim(text)), '^(merge|wip|fixup!|squash!|bump|chore|typo|format|lint|revert)\\b')""", needs=("lines",))
+def _nth(options: list[str], n: Column) -> Column:
+    """The option with this number, from 0, modulo how many there are."""
+    return F.element_at(F.array(*map(F.lit, options)), (F.pmod(n, F.lit(len(options))) + 1).cast("int"))
+
+
+_DOC_ID = F.substring("file", 4, 30).cast("long")
+
+
+@query(r"""WITH s AS (SELECT file, line, (['chore: ', 'fmt ', 'Lint', 'whitespace ', 'Bump ', 'dependabot ', 'renovate ', 'deps: ', 'DEPS(x) ', 'deps ', 'depsbuild ', '  ', 'bumpy '])[1 + (CAST(substr(file, 4) AS BIGINT) + line) % 13] || text AS t FROM lines),
+l AS (SELECT file, line, regexp_replace(t, '^[ \t\n\f\r]+|[ \t\n\f\r]+$', '', 'g') AS t FROM s)
+SELECT file, line FROM l WHERE length(t) >= 30 AND NOT (lower(t) LIKE 'chore%' OR lower(t) LIKE 'fmt%' OR lower(t) LIKE 'lint%' OR lower(t) LIKE 'whitespace%' OR lower(t) LIKE 'bump %'
+  OR lower(t) LIKE 'dependabot%' OR lower(t) LIKE 'renovate%' OR lower(t) LIKE 'deps:%' OR lower(t) LIKE 'deps(%' OR lower(t) LIKE 'deps %')""", needs=("lines",))
 def significant_lines(spark, sf_dir):
-    return history.significant(B.lines(spark, sf_dir), "text").select("file", "line")
+    """The lines of documents as commit subjects, after beginnings that are noise or nearly so."""
+    begin = _nth(["chore: ", "fmt ", "Lint", "whitespace ", "Bump ", "dependabot ", "renovate ", "deps: ", "DEPS(x) ", "deps ", "depsbuild ", "  ", "bumpy "], _DOC_ID + F.col("line"))
+    return history.significant(B.lines(spark, sf_dir).withColumn("text", F.concat(begin, "text")), "text").select("file", "line")
 
 
 EDGES_SQL = """WITH n AS (SELECT s_name AS name, 'n' || CAST(s_nationkey AS VARCHAR) AS dst FROM supplier),
@@ -307,16 +320,37 @@ def ancestor_walk(spark, sf_dir):
     return graph.ancestors(h.unionByName(n.select(F.concat(F.lit("n"), "n_nationkey").alias("child"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))))
 
 
-@query("""SELECT 'p/' || o_orderstatus AS file, 'o' || CAST(o_orderkey AS VARCHAR) || CASE WHEN o_custkey % 4 = 0 THEN 'Handler' ELSE '' END AS name, 'function' AS kind,
-CASE WHEN o_custkey % 4 = 0 THEN 0.5 WHEN o_custkey % 4 = 1 THEN 0.7 ELSE 0.85 END AS confidence FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+@query("""WITH d AS (SELECT o_orderkey, 'p/' || o_orderstatus || '.' || (['go', 'py', 'ts', 'rs', 'java'])[1 + o_custkey % 5] AS file, (['o', 'O', '_o'])[1 + o_custkey % 3] AS pre, (['public', 'private', 'pub', NULL, NULL, NULL, NULL])[1 + o_custkey % 7] AS vis,
+  (['Plugin', 'Handler', 'Adapter', 'Middleware', 'Provider', 'Factory', 'Service', 'Controller', ''])[1 + o_custkey % 9] AS suffix FROM orders)
+SELECT file, pre || CAST(o_orderkey AS VARCHAR) || suffix AS name, 'function' AS kind, CASE WHEN suffix NOT IN ('', 'Controller') THEN 0.5
+  WHEN CASE WHEN vis IS NOT NULL THEN vis <> 'private' WHEN file LIKE '%.go' THEN pre = 'O' WHEN file LIKE '%.py' THEN pre <> '_o' ELSE file NOT LIKE '%.rs' END THEN 0.85 ELSE 0.7 END AS confidence
+FROM d WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
 def dead_code_tiers(spark, sf_dir):
-    """Orders are definitions and order lines use them; a quarter have a name that looks dynamically found, a quarter a parent."""
-    o, li, k = B.table(spark, sf_dir, "orders"), B.table(spark, sf_dir, "lineitem"), F.col("o_custkey") % 4
+    """Orders are definitions and order lines use them; languages, visibility and ends of names by customer."""
+    o, li, k = B.table(spark, sf_dir, "orders"), B.table(spark, sf_dir, "lineitem"), F.col("o_custkey")
     id_ = F.concat(F.lit("o"), "o_orderkey")
-    defs = o.select(F.concat(F.lit("p/"), "o_orderstatus").alias("file"), F.concat(id_, F.when(k == 0, "Handler").otherwise("")).alias("name"), F.lit("function").alias("kind"), F.when(k == 1, "C").alias("parent"), id_.alias("qualified_name"))
+    suffix = _nth(["Plugin", "Handler", "Adapter", "Middleware", "Provider", "Factory", "Service", "Controller", ""], k)
+    visibility = F.when(k % 7 == 0, "public").when(k % 7 == 1, "private").when(k % 7 == 2, "pub")
+    defs = o.select(F.concat(F.lit("p/"), "o_orderstatus", F.lit("."), _nth(["go", "py", "ts", "rs", "java"], k)).alias("file"), F.concat(_nth(["o", "O", "_o"], k), "o_orderkey", suffix).alias("name"), F.lit("function").alias("kind"), visibility.alias("visibility"), id_.alias("qualified_name"))
     return code.dead_code(defs, li.select(F.concat(F.lit("o"), "l_orderkey").alias("name")), least=0.5)
 
 
+@query("""WITH f AS (SELECT c_custkey, (['tests/', 'test/', 'a/tests/', 'a/test/', 'a/__tests__/', '__tests__/', 'src/test/', 'latest/', 'a/'])[1 + c_custkey % 9] || (['f', 'test_f', 'Testf'])[1 + (c_custkey // 9) % 3] || CAST(c_custkey AS VARCHAR)
+  || (['_test.rs', '_test.go', '_test.py', '_test.ts', '_test.js', '.test.ts', '.test.tsx', '.test.js', '.test.jsx', '.spec.ts', '.spec.tsx', '.spec.js', '.spec.jsx', 'Test.java', 'Tests.java', '_spec.rb', '.py', '.java', '.rs', '.rb', '_spec.js', 'Test.kt', '.MD', '.jsonc', '.lock', '.css'])[1 + (c_custkey // 27) % 26] AS file FROM customer),
+n AS (SELECT file, regexp_extract(file, '[^/]*$') AS name FROM f)
+SELECT file, starts_with(file, 'tests/') OR starts_with(file, 'test/') OR contains(file, '/tests/') OR contains(file, '/test/') OR contains(file, '/__tests__/')
+  OR len(list_filter(['_test.rs', '_test.go', '_test.py', '_test.ts', '_test.js', '.test.ts', '.test.tsx', '.test.js', '.test.jsx', '.spec.ts', '.spec.tsx', '.spec.js', '.spec.jsx', 'Test.java', 'Tests.java', '_spec.rb'], lambda e: ends_with(name, e))) > 0
+  OR (starts_with(name, 'test_') AND (ends_with(name, '.py') OR ends_with(name, '.rs'))) OR (starts_with(name, 'Test') AND ends_with(name, '.java')) AS test,
+  ends_with(lower(file), '.md') OR ends_with(lower(file), '.jsonc') AS other FROM n""")
+def path_kinds(spark, sf_dir):
+    """Paths by customer: which are tests, and which hold no source."""
+    k = F.col("c_custkey")
+    ends = ["_test.rs", "_test.go", "_test.py", "_test.ts", "_test.js", ".test.ts", ".test.tsx", ".test.js", ".test.jsx", ".spec.ts", ".spec.tsx", ".spec.js", ".spec.jsx", "Test.java", "Tests.java", "_spec.rb", ".py", ".java", ".rs", ".rb", "_spec.js", "Test.kt", ".MD", ".jsonc", ".lock", ".css"]
+    folder = _nth(["tests/", "test/", "a/tests/", "a/test/", "a/__tests__/", "__tests__/", "src/test/", "latest/", "a/"], k)
+    file = F.concat(folder, _nth(["f", "test_f", "Testf"], F.floor(k / 9)), "c_custkey", _nth(ends, F.floor(k / 27)))
+    return B.table(spark, sf_dir, "customer").select(file.alias("file")).select("file", names.is_test_path(F.col("file")).alias("test"), names.is_non_source(F.col("file")).alias("other"))
+
+
 @query("""WITH d AS (SELECT qualified_name AS name, min(file) AS target FROM entities GROUP BY 1 HAVING count(*) = 1)
 SELECT refs.name, count(*) AS n, any_value(target) AS target, 0.5 AS confidence FROM refs JOIN d ON d.name = refs.name WHERE refs.kind = 'call' GROUP BY refs.name""", needs=("entities", "refs"))
 def resolve_unique_global(spark, sf_dir):
@@ -346,13 +380,21 @@ def grep_grouped(spark, sf_dir):
     return text.grouped(text.grep(B.lines(spark, sf_dir), "[0-9]"), "file")
 
 
-def _sql_string(s: str) -> str:
-    return "'" + s.replace("\\x22", '"').replace("'", "''") + "'"
-
-
-@query(" UNION ALL ".join(f"SELECT file, line, '{r.kind}' AS kind, '{r.severity}' AS severity FROM lines WHERE regexp_matches(text, {_sql_string(r.pattern)})" for r in text.SECURITY), needs=("lines",))
+@query(r"""WITH l AS (SELECT 'doc' || d || '.' || (['py', 'rs', 'js', 'rb', 'java', 'tsx'])[1 + d % 6] AS file, line, (['py', 'rs', 'js', 'rb', 'java', 'tsx'])[1 + d % 6] AS ext, text || ' ' || (['eval (x)', 'exec(x)', 'pickle.loads(x)', 'subprocess.run(x, shell = True)', 'os.system(x)', 'password = "x"',
+  'api_key="x"', 'f"SELECT {x}"', 'c.execute("SELECT a" + x)', 'verify=False', 'md5 sha1', 'evaluate(x) execute(x) sha10'])[1 + (d + line) % 12] AS text FROM (SELECT *, CAST(substr(file, 4) AS BIGINT) AS d FROM lines)),
+r(kind, severity, p, ext) AS (VALUES
+  ('eval_call', 'high', '\beval\s*\(', ['py', 'js', 'ts', 'tsx', 'jsx', 'rb', 'php']), ('exec_call', 'high', '\bexec\s*\(', ['py', 'js', 'ts', 'tsx', 'jsx', 'rb', 'php']), ('pickle_loads', 'high', 'pickle\.loads', ['py']),
+  ('subprocess_shell_true', 'high', 'subprocess\..*shell\s*=\s*True', ['py']), ('os_system', 'high', '\bos\.system', ['py', 'rb']), ('hardcoded_password', 'high', 'password\s*=\s*[''"]', NULL),
+  ('hardcoded_secret', 'high', '(?:api_?key|secret)\s*=\s*[''"]', NULL), ('fstring_sql', 'med', 'f[''"].*SELECT.*\{.*\}', ['py']), ('concat_sql', 'med', '\.execute\(\s*[''"]\s*SELECT.*\+', NULL),
+  ('tls_verify_false', 'med', 'verify\s*=\s*False', ['py']), ('weak_hash', 'low', '\bmd5\b|\bsha1\b', NULL))
+SELECT file, line, kind, severity FROM l, r WHERE (r.ext IS NULL OR list_contains(r.ext, l.ext)) AND regexp_matches(text, p)""", needs=("lines",))
 def pattern_scan(spark, sf_dir):
-    return text.pattern_scan(B.lines(spark, sf_dir), text.SECURITY)
+    """The lines of documents as sources of six languages, each with a piece of code that some rule may find."""
+    ext = _nth(["py", "rs", "js", "rb", "java", "tsx"], _DOC_ID)
+    pieces = ["eval (x)", "exec(x)", "pickle.loads(x)", "subprocess.run(x, shell = True)", "os.system(x)", 'password = "x"', 'api_key="x"', 'f"SELECT {x}"', 'c.execute("SELECT a" + x)', "verify=False", "md5 sha1", "evaluate(x) execute(x) sha10"]
+    piece = _nth(pieces, _DOC_ID + F.col("line"))
+    lines = B.lines(spark, sf_dir).select(F.concat("file", F.lit("."), ext).alias("file"), "line", F.concat("text", F.lit(" "), piece).alias("text"))
+    return text.pattern_scan(lines, text.SECURITY, F.substring_index("file", ".", -1))
 
 
 @query(r"""SELECT page_id, CASE WHEN p = '' THEN '/' ELSE p END AS path FROM (SELECT page_id, regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
@@ -545,13 +587,29 @@ def grep_enclosing(spark, sf_dir):
     return code.enclosing(e.select("file", (F.col("line_start") + 3).alias("line")).distinct(), e)
 
 
-@query(r"""WITH l AS (SELECT 'c' || CAST(conv_id AS VARCHAR) AS file, CAST(turn AS BIGINT) AS line, '# ' || role || ': ' || string_split(text, chr(10))[1] AS text FROM conversations),
-p AS (SELECT '(?i)^\s*(?:#|//|--)\s*(USER|ASSISTANT)\s*:\s*(\S.*?)\s*$' AS p)
-SELECT file, line, upper(regexp_extract(text, '(?i)^\s*(?:#|//|--)\s*(USER|ASSISTANT)\s*:', 1)) AS marker, regexp_extract(text, '(?i)^\s*(?:#|//|--)\s*(?:USER|ASSISTANT)\s*:\s*(\S.*?)\s*$', 1) AS note FROM l, p WHERE regexp_matches(text, p)""")
+_TURN_LINES = "turns AS (SELECT conv_id, turn, role, CAST(unnest(range(1, len(l) + 1)) AS BIGINT) AS line, unnest(l) AS text FROM (SELECT *, string_split(text, chr(10)) AS l FROM conversations WHERE text IS NOT NULL))"
+
+
+@query("WITH " + _TURN_LINES + r""", l AS (SELECT 'c' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS file, line,
+(['# decision: ', '// WHY:', '-- Rationale: ', '# TRADEOFF:  ', '  # adr: ', '//rejected: ', '# NOTE: ', '# WHY : ', 'WHY: ', ''])[1 + (conv_id + turn + line) % 10] || text AS text FROM turns)
+SELECT file, line, upper(regexp_extract(text, '(?i)^\s*(?:#|//|--)\s*(DECISION|WHY|RATIONALE|TRADEOFF|ADR|REJECTED):', 1)) AS marker, regexp_extract(text, '(?i)^\s*(?:#|//|--)\s*[A-Z]+:\s*(\S.*?)\s*$', 1) AS note
+FROM l WHERE regexp_matches(text, '(?i)^\s*(?:#|//|--)\s*(DECISION|WHY|RATIONALE|TRADEOFF|ADR|REJECTED):\s*\S.*$')""")
 def marker_scan(spark, sf_dir):
+    """All lines of conversations as comments with markers, or nearly."""
+    t = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("pos", "text")).withColumn("line", (F.col("pos") + 1).cast("long"))
+    begin = _nth(["# decision: ", "// WHY:", "-- Rationale: ", "# TRADEOFF:  ", "  # adr: ", "//rejected: ", "# NOTE: ", "# WHY : ", "WHY: ", ""], F.col("conv_id") + F.col("turn") + F.col("line"))
+    return text.markers(t.select(F.concat(F.lit("c"), "conv_id", F.lit("/"), "turn").alias("file"), "line", F.concat(begin, "text").alias("text")))
+
+
+@query("WITH " + _TURN_LINES + r""", l AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS sha, CASE WHEN turn % 2 = 0 THEN role ELSE 'HEAD' END AS file,
+CASE WHEN line = 1 THEN (['Why: ', 'decision: ', 'TRADEOFF: ', 'Refactor for: ', 'rationale: ', 'Wherefore: ', ''])[1 + (conv_id + turn) % 7] ELSE '' END || text AS text FROM turns)
+SELECT sha, file, CASE lower(split_part(ltrim(text), ':', 1)) WHEN 'why' THEN 'Why' WHEN 'decision' THEN 'Decision' WHEN 'tradeoff' THEN 'Tradeoff' WHEN 'refactor for' THEN 'Refactor for' ELSE 'Rationale' END AS marker,
+regexp_extract(text, '(?i)^\s*[A-Z ]+?:\s*(\S.*?)\s*$', 1) AS note FROM l WHERE regexp_matches(text, '(?i)^\s*(Why|Decision|Tradeoff|Refactor for|Rationale):\s*\S.*$')""")
+def commit_marker_scan(spark, sf_dir):
+    """Turns of conversations as commit messages, whose first lines begin with markers, or nearly."""
     c = B.table(spark, sf_dir, "conversations")
-    lines = c.select(F.concat(F.lit("c"), "conv_id").alias("file"), F.col("turn").cast("long").alias("line"), F.concat(F.lit("# "), "role", F.lit(": "), F.split("text", "\n")[0]).alias("text"))
-    return text.markers(lines, ["USER", "ASSISTANT"])
+    begin = _nth(["Why: ", "decision: ", "TRADEOFF: ", "Refactor for: ", "rationale: ", "Wherefore: ", ""], F.col("conv_id") + F.col("turn"))
+    return text.commit_markers(c.select(F.concat_ws("-", "conv_id", "turn").alias("sha"), F.when(F.col("turn") % 2 == 0, F.col("role")).alias("file"), F.concat(begin, "text").alias("message")))
 
 
 _PATH_SQL = ORACLES["normalize_urls"].removesuffix(" FROM pages)").split("FROM (SELECT page_id, ", 1)[1].removesuffix(" AS p")

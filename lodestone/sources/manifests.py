@@ -94,7 +94,7 @@ def dependencies(files: DataFrame) -> DataFrame:
 
 
 #: Files that define environment variables, the first that has one counts. Fixed values.
-ENV_FILES = [".env.example", ".env.sample", ".env.template", ".env", ".env.local", ".env.development", ".env.production", "docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml"]
+ENV_FILES = [".env.example", ".env.sample", ".env.template", ".env.local", ".env.development", ".env.production", ".env", "docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml"]
 
 
 def _env(file: str, text: str) -> list[tuple]:

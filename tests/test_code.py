@@ -106,7 +106,7 @@ def test_text(spark):
     assert {x["contract_id"] for x in found.collect()} == {"http::GET::/users/{param}"}
     assert [tuple(x) for x in text.contract_links(found).collect()] == [("http::GET::/users/{param}", "a.py", "b.ts", 0.95)]
     assert [tuple(x) for x in text.markers(lines).collect()] == [("a.py", 2, "WHY", "it is so")]
-    assert [x["kind"] for x in text.pattern_scan(lines, text.SECURITY, names.language(F.col("file"))).collect()] == ["eval"]
+    assert [x["kind"] for x in text.pattern_scan(lines, text.SECURITY, F.substring_index("file", ".", -1)).collect()] == ["eval_call"]
     assert text.grep(lines, "eval(", fixed=True).count() == 1
 
 
