@@ -52,11 +52,14 @@ def hunks(old: str | None, new: str | None, context: int = 3) -> str:
 
 
 def line_similarity(a: str, b: str) -> float:
-    """The share of words two lines have in common, or for lines without words of places with the same character."""
-    wa, wb = set(re.findall(r"\w+", a)), set(re.findall(r"\w+", b))
-    if wa or wb:
-        return 2 * len(wa & wb) / (len(wa) + len(wb))
-    return sum(x == y for x, y in zip(a, b)) / max(len(a), len(b), 1)
+    """How many of the first line's words the second has, over the longer line's number of words; for two different single
+    words the share of places with the same character, of the shorter one's bytes. Lines without words are alike."""
+    wa, wb = a.split(), b.split()
+    if not wa or not wb:
+        return float(not wa and not wb)
+    if len(wa) == len(wb) == 1 and wa != wb:
+        return sum(x == y for x, y in zip(wa[0], wb[0])) / min(len(wa[0].encode()), len(wb[0].encode()))
+    return sum(w in wb for w in wa) / max(len(wa), len(wb))
 
 
 def _kind(old: str, new: str, inside: int) -> str:

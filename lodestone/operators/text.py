@@ -86,6 +86,37 @@ def commit_markers(messages: DataFrame, words: list[str] = COMMIT_MARKERS) -> Da
     return lines.select("sha", "file", spelt.alias("marker"), F.regexp_extract("text", pattern, 2).alias("note"))
 
 
+#: What in a file's text makes a framework call it: language, name, pattern. The first of a language that matches counts. Fixed values.
+FRAMEWORKS = [
+    ("python", "flask_route", r"""@\s*[A-Za-z_][A-Za-z0-9_]*\.route\(\s*['"][^'"]+['"]"""),
+    ("python", "fastapi_route", r"""@\s*[A-Za-z_][A-Za-z0-9_]*\.(get|post|put|delete|patch|options|head)\(\s*['"][^'"]+['"]"""),
+    ("go", "go_net_http", r"""\b[A-Za-z_][A-Za-z0-9_]*\.HandleFunc\(\s*['"`][^'"`]+['"`]"""),
+    ("go", "go_chi", r"""\b[A-Za-z_][A-Za-z0-9_]*\.(Get|Post|Put|Delete|Patch|Options|Head)\(\s*['"`][^'"`]+['"`]"""),
+    ("go", "go_gin_echo", r"""\b[A-Za-z_][A-Za-z0-9_]*\.(GET|POST|PUT|DELETE|PATCH|OPTIONS|HEAD)\(\s*['"`][^'"`]+['"`]"""),
+    ("javascript", "express_route", r"""\b[A-Za-z_][A-Za-z0-9_]*\.(get|post|put|delete|patch|options|head|all)\(\s*['"`][^'"`]+['"`]"""),
+    ("typescript", "express_route", r"""\b[A-Za-z_][A-Za-z0-9_]*\.(get|post|put|delete|patch|options|head|all)\(\s*['"`][^'"`]+['"`]"""),
+    ("typescript", "nestjs_decorator", r"@(Controller|Get|Post|Put|Delete|Patch|Options|Head|All|Module|Injectable)\b"),
+    ("javascript", "nestjs_decorator", r"@(Controller|Get|Post|Put|Delete|Patch|Options|Head|All|Module|Injectable)\b"),
+    ("kotlin", "ktor_route", r"""(?m)(?:^|\s|\{)(get|post|put|delete|patch|options|head)\(\s*"[^"]+\""""),
+    ("kotlin", "spring_annotation", r"@(RestController|Controller|GetMapping|PostMapping|PutMapping|DeleteMapping|PatchMapping|RequestMapping)\b"),
+    ("swift", "vapor_route", r"""\b[A-Za-z_][A-Za-z0-9_]*\.(get|post|put|delete|patch|options|head)\(\s*"[^"]+\""""),
+    ("scala", "akka_http_route", r"""\bpath\(\s*"[^"]+"\s*\)\s*\{"""),
+    ("scala", "play_action", r"\bAction(?:\.async)?\s*(?:\([^)]*\)\s*)?\{"),
+    ("php", "laravel_route", r"""\bRoute::(get|post|put|delete|patch|options|any|match|resource|view|redirect)\(\s*['"][^'"]+['"]"""),
+    ("php", "symfony_route", r"""#\[\s*Route\s*\(\s*['"][^'"]+['"]"""),
+]
+#: Python files that a framework calls by their name. Fixed values.
+FRAMEWORK_FILES = {"urls.py": "django_urls", "views.py": "django_views"}
+
+
+def framework_files(files: DataFrame, language: Column) -> DataFrame:
+    """(file, framework) from (file, text): files that a framework calls, told by their name or by their text."""
+    name = F.regexp_extract("file", "([^/]*)$", 1)
+    tags = [F.when((language == "python") & (name == n), t) for n, t in FRAMEWORK_FILES.items()]
+    tags += [F.when((language == lang) & F.col("text").rlike(pattern), tag) for lang, tag, pattern in FRAMEWORKS]
+    return files.select("file", F.coalesce(*tags).alias("framework")).where("framework is not null")
+
+
 @dataclass(frozen=True)
 class Contract:
     """A line that speaks of a service: group ``method`` and ``path`` of the pattern (0: none), or a fixed method."""

@@ -197,7 +197,8 @@ def _nth(options: list[str], n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, options)), (F.pmod(n, F.lit(len(options))) + 1).cast("int"))
 
 
-_DOC_ID = F.substring("file", 4, 30).cast("long")
+def _doc_id() -> Column:
+    return F.substring("file", 4, 30).cast("long")
 
 
 @query(r"""WITH s AS (SELECT file, line, (['chore: ', 'fmt ', 'Lint', 'whitespace ', 'Bump ', 'dependabot ', 'renovate ', 'deps: ', 'DEPS(x) ', 'deps ', 'depsbuild ', '  ', 'bumpy '])[1 + (CAST(substr(file, 4) AS BIGINT) + line) % 13] || text AS t FROM lines),
@@ -206,7 +207,7 @@ SELECT file, line FROM l WHERE length(t) >= 30 AND NOT (lower(t) LIKE 'chore%' O
   OR lower(t) LIKE 'dependabot%' OR lower(t) LIKE 'renovate%' OR lower(t) LIKE 'deps:%' OR lower(t) LIKE 'deps(%' OR lower(t) LIKE 'deps %')""", needs=("lines",))
 def significant_lines(spark, sf_dir):
     """The lines of documents as commit subjects, after beginnings that are noise or nearly so."""
-    begin = _nth(["chore: ", "fmt ", "Lint", "whitespace ", "Bump ", "dependabot ", "renovate ", "deps: ", "DEPS(x) ", "deps ", "depsbuild ", "  ", "bumpy "], _DOC_ID + F.col("line"))
+    begin = _nth(["chore: ", "fmt ", "Lint", "whitespace ", "Bump ", "dependabot ", "renovate ", "deps: ", "DEPS(x) ", "deps ", "depsbuild ", "  ", "bumpy "], _doc_id() + F.col("line"))
     return history.significant(B.lines(spark, sf_dir).withColumn("text", F.concat(begin, "text")), "text").select("file", "line")
 
 
@@ -390,9 +391,9 @@ r(kind, severity, p, ext) AS (VALUES
 SELECT file, line, kind, severity FROM l, r WHERE (r.ext IS NULL OR list_contains(r.ext, l.ext)) AND regexp_matches(text, p)""", needs=("lines",))
 def pattern_scan(spark, sf_dir):
     """The lines of documents as sources of six languages, each with a piece of code that some rule may find."""
-    ext = _nth(["py", "rs", "js", "rb", "java", "tsx"], _DOC_ID)
+    ext = _nth(["py", "rs", "js", "rb", "java", "tsx"], _doc_id())
     pieces = ["eval (x)", "exec(x)", "pickle.loads(x)", "subprocess.run(x, shell = True)", "os.system(x)", 'password = "x"', 'api_key="x"', 'f"SELECT {x}"', 'c.execute("SELECT a" + x)', "verify=False", "md5 sha1", "evaluate(x) execute(x) sha10"]
-    piece = _nth(pieces, _DOC_ID + F.col("line"))
+    piece = _nth(pieces, _doc_id() + F.col("line"))
     lines = B.lines(spark, sf_dir).select(F.concat("file", F.lit("."), ext).alias("file"), "line", F.concat("text", F.lit(" "), piece).alias("text"))
     return text.pattern_scan(lines, text.SECURITY, F.substring_index("file", ".", -1))
 
@@ -542,11 +543,49 @@ def inline_line_diff(spark, sf_dir):
     return diff.line_diffs(c, ["conv_id", "turn"])
 
 
-@query("SELECT conv_id, turn, 'value_changed' AS change, CAST(turn AS VARCHAR) AS was, CAST(turn + 1 AS VARCHAR) AS now FROM conversations")
+@query(r"""WITH p AS (SELECT doc_id, text, doc_id % 8 AS k, (doc_id // 8) % 10 AS j FROM documents WHERE text IS NOT NULL),
+f AS (SELECT k, (['a/', 'b.c/'])[1 + doc_id % 2] || CASE WHEN k = 0 AND j = 0 THEN 'urls.py' WHEN k = 0 AND j = 1 THEN 'views.py' ELSE 'f' || CAST(doc_id AS VARCHAR) || (['.py', '.go', '.js', '.ts', '.kt', '.swift', '.scala', '.php'])[1 + k] END AS file,
+text || chr(10) || (['@app.route("/a")', '@ router.post( ''/a'')', 'mux.HandleFunc("/a", h)', 'r.Get("/a")', 'r.GET("/a")', 'app.get("/a")', '@Injectable()', '{get("/a")', 'path("a") { Action.async (x) {', 'Route::any("/a") #[ Route("/b")'])[1 + j] AS text FROM p),
+t AS (SELECT file, CASE
+  WHEN ends_with(file, '/urls.py') THEN 'django_urls' WHEN ends_with(file, '/views.py') THEN 'django_views'
+  WHEN k = 0 AND regexp_matches(text, '@\s*[A-Za-z_]\w*\.route\(\s*["''][^"'']+["'']') THEN 'flask_route'
+  WHEN k = 0 AND regexp_matches(text, '@\s*[A-Za-z_]\w*\.(get|post|put|delete|patch|options|head)\(\s*["''][^"'']+["'']') THEN 'fastapi_route'
+  WHEN k = 1 AND regexp_matches(text, '\b[A-Za-z_]\w*\.HandleFunc\(\s*["''`][^"''`]+["''`]') THEN 'go_net_http'
+  WHEN k = 1 AND regexp_matches(text, '\b[A-Za-z_]\w*\.(Get|Post|Put|Delete|Patch|Options|Head)\(\s*["''`][^"''`]+["''`]') THEN 'go_chi'
+  WHEN k = 1 AND regexp_matches(text, '\b[A-Za-z_]\w*\.(GET|POST|PUT|DELETE|PATCH|OPTIONS|HEAD)\(\s*["''`][^"''`]+["''`]') THEN 'go_gin_echo'
+  WHEN k IN (2, 3) AND regexp_matches(text, '\b[A-Za-z_]\w*\.(get|post|put|delete|patch|options|head|all)\(\s*["''`][^"''`]+["''`]') THEN 'express_route'
+  WHEN k IN (2, 3) AND regexp_matches(text, '@(Controller|Get|Post|Put|Delete|Patch|Options|Head|All|Module|Injectable)\b') THEN 'nestjs_decorator'
+  WHEN k = 4 AND regexp_matches(text, '(^|\s|\{)(get|post|put|delete|patch|options|head)\(\s*"[^"]+"') THEN 'ktor_route'
+  WHEN k = 4 AND regexp_matches(text, '@(RestController|Controller|(Get|Post|Put|Delete|Patch|Request)Mapping)\b') THEN 'spring_annotation'
+  WHEN k = 5 AND regexp_matches(text, '\b[A-Za-z_]\w*\.(get|post|put|delete|patch|options|head)\(\s*"[^"]+"') THEN 'vapor_route'
+  WHEN k = 6 AND regexp_matches(text, '\bpath\(\s*"[^"]+"\s*\)\s*\{') THEN 'akka_http_route' WHEN k = 6 AND regexp_matches(text, '\bAction(\.async)?\s*(\([^)]*\)\s*)?\{') THEN 'play_action'
+  WHEN k = 7 AND regexp_matches(text, '\bRoute::(get|post|put|delete|patch|options|any|match|resource|view|redirect)\(\s*["''][^"'']+["'']') THEN 'laravel_route'
+  WHEN k = 7 AND regexp_matches(text, '#\[\s*Route\s*\(\s*["''][^"'']+["'']') THEN 'symfony_route' END AS framework FROM f)
+SELECT file, framework FROM t WHERE framework IS NOT NULL""")
+def framework_entries(spark, sf_dir):
+    """Documents as sources of eight languages, each with a line that some framework looks for."""
+    d = B.table(spark, sf_dir, "documents").where("text is not null")
+    k, j = F.col("doc_id") % 8, F.floor(F.col("doc_id") / 8) % 10
+    plain = F.concat(F.lit("f"), "doc_id", _nth([".py", ".go", ".js", ".ts", ".kt", ".swift", ".scala", ".php"], k))
+    name = F.when((k == 0) & (j == 0), "urls.py").when((k == 0) & (j == 1), "views.py").otherwise(plain)
+    pieces = ['@app.route("/a")', "@ router.post( '/a')", 'mux.HandleFunc("/a", h)', 'r.Get("/a")', 'r.GET("/a")', 'app.get("/a")', "@Injectable()", '{get("/a")', 'path("a") { Action.async (x) {', 'Route::any("/a") #[ Route("/b")']
+    files = d.select(F.concat(_nth(["a/", "b.c/"], F.col("doc_id")), name).alias("file"), F.concat("text", F.lit("\n"), _nth(pieces, j)).alias("text"))
+    return text.framework_files(files, names.language(F.col("file")))
+
+
+@query("""SELECT conv_id, turn, 'value_changed' AS change, CAST(turn AS VARCHAR) AS was, CAST(turn + 1 AS VARCHAR) AS now FROM conversations WHERE (conv_id + turn) % 5 = 0
+UNION ALL SELECT conv_id, turn, 'argument_changed', 'a' || CAST(turn AS VARCHAR), 'b' || CAST(turn AS VARCHAR) FROM conversations WHERE (conv_id + turn) % 5 = 1
+UNION ALL SELECT conv_id, turn, 'comment_changed', 'old', 'new' FROM conversations WHERE (conv_id + turn) % 5 = 2
+UNION ALL SELECT conv_id, turn, 'line_removed', 'gone with it', '' FROM conversations WHERE (conv_id + turn) % 5 = 3
+UNION ALL SELECT conv_id, turn, 'line_added', '', 'altogether new' FROM conversations WHERE (conv_id + turn) % 5 >= 3""")
 def change_details(spark, sf_dir):
-    line = lambda n: F.concat(F.lit("turn = "), n.cast("string"))
-    c = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", line(F.col("turn")).alias("old"), line(F.col("turn") + 1).alias("new"))
-    return diff.token_changes(c, ["conv_id", "turn"])
+    """Every turn with a line of code more or changed, of five kinds."""
+    kind, n, m = (F.col("conv_id") + F.col("turn")) % 5, F.col("turn").cast("string"), (F.col("turn") + 1).cast("string")
+    old = F.when(kind == 0, F.concat(F.lit("turn = "), n)).when(kind == 1, F.concat(F.lit("f(x, a"), n, F.lit(", y, z)"))).when(kind == 2, "x = y # old thing here").when(kind == 3, "gone with it")
+    new = F.when(kind == 0, F.concat(F.lit("turn = "), m)).when(kind == 1, F.concat(F.lit("f(x, b"), n, F.lit(", y, z)"))).when(kind == 2, "x = y # new thing here").otherwise("altogether new")
+    c = B.table(spark, sf_dir, "conversations").where("text is not null")
+    text_ = lambda line: F.concat_ws("\n", "text", line)
+    return diff.token_changes(c.select("conv_id", "turn", text_(old).alias("old"), text_(new).alias("new")), ["conv_id", "turn"])
 
 
 _MODULES_SQL = """m AS (SELECT DISTINCT 'src/' || lower(regexp_replace(o_orderpriority, '[^A-Za-z0-9]+', '_', 'g')) || '/' || lower(o_orderstatus) || '.py' AS file,
