@@ -133,12 +133,26 @@ def dead_code(entities: DataFrame, refs: DataFrame, entry_files: DataFrame | Non
 
 
 def enclosing(hits: DataFrame, entities: DataFrame) -> DataFrame:
-    """hits(file, line, ...) with the innermost definition around each: the one that starts last, null without any."""
-    spans = entities.where("kind != 'module'").select(F.col("file").alias("_f"), "line_start", "line_end", F.struct(F.col("line_start"), -F.col("line_end"), F.col("name")).alias("_s"))
-    marked = hits.withColumn("_id", F.xxhash64(*hits.columns))
-    found = marked.join(spans, (F.col("file") == F.col("_f")) & F.col("line").between(F.col("line_start"), F.col("line_end")))
-    inner = found.groupBy("_id").agg(F.max("_s").alias("_s"))
-    return marked.join(inner, "_id", "left").select(*hits.columns, F.col("_s.name").alias("entity"))
+    """hits(file, line, ...) with the innermost definition around each: the one that starts last, null without any.
+
+    Lines are cut into cells of 2^k lines, k from 0. A definition is put on the few cells that make it up, two of a size at
+    most, and a cell keeps the best of its own; a hit meets the one cell of each size that it lies in, by equality."""
+    best = F.struct(F.col("line_start"), -F.col("line_end"), F.col("name"))
+    spans = entities.where("kind != 'module' and line_start <= line_end")
+    # a greatest long may stand for the end of a file; there are no lines beyond 2^62
+    spans = spans.select(F.col("file").alias("_f"), F.col("line_start").cast("long").alias("_l"), (F.least(F.col("line_end").cast("long"), F.lit(1 << 62)) + 1).alias("_r"), best.alias("_s"))
+    sized = spans.select("*", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("_r") - F.col("_l"))) - 1)).alias("_k"))
+    # whole cells from the first that begins in the definition to the last that ends in it: at its ends those that no larger cell holds
+    first, end = -F.call_function("shiftright", -F.col("_l"), F.col("_k")), F.call_function("shiftright", F.col("_r"), F.col("_k"))
+    cells = sized.select("_f", "_k", "_s", first.alias("_a"), end.alias("_b")).where("_a < _b")
+    at = F.array_compact(F.array(F.when(F.col("_a") % 2 != 0, F.col("_a")), F.when(F.col("_b") % 2 != 0, F.col("_b") - 1)))
+    held = cells.select("_f", "_k", F.explode(at).alias("_c"), "_s").groupBy("_f", "_k", "_c").agg(F.max("_s").alias("_s"))
+    sizes = spans.agg(F.max(F.length(F.bin(F.col("_r") - F.col("_l")))).alias("_n"))  # one row
+    places = hits.select("file", F.col("line").cast("long").alias("line")).distinct().crossJoin(F.broadcast(sizes))
+    each = places.select("file", "line", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k")).withColumn("_c", F.call_function("shiftright", F.col("line"), F.col("_k")))
+    found = each.join(held, (F.col("file") == F.col("_f")) & (each["_k"] == held["_k"]) & (each["_c"] == held["_c"]))
+    inner = found.groupBy(F.col("file").alias("_f"), F.col("line").alias("_l")).agg(F.max("_s").alias("_s"))
+    return hits.join(inner, (F.col("file") == F.col("_f")) & (F.col("line") == F.col("_l")), "left").select(*hits.columns, F.col("_s.name").alias("entity"))
 
 
 def nearest_before(points: DataFrame, spans: DataFrame, gap: int = 2) -> DataFrame:

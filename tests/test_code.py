@@ -3,6 +3,8 @@
 import glob
 import math
 import os
+import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -62,6 +64,26 @@ def test_points(spark):
     assert [tuple(x) for x in paths.collect()] == [("m/a/b", "m/a")]
 
 
+def test_enclosing_many(spark):
+    """Definitions of every length, some nested in many others, against a plain search; none meets each line that it holds."""
+    rng = random.Random(5)
+    spans = [("f", f"n{k}", a := rng.randint(-3, 300), a + rng.choice([-1, 0, 1, 2, 7, 31, 64, 200])) for k in range(300)] + [("g", "all", 1, (1 << 63) - 1), ("h", "m", 1, 9)]
+    spans += [("f", None, 4, None), (None, "x", 1, 400), ("f", "n1", None, 9)]
+    e = spark.createDataFrame([(f, n, "module" if f == "h" else "function", a, b) for f, n, a, b in spans], "file string, name string, kind string, line_start long, line_end long")
+    at = [(f, n) for f in ("f", "g", "h") for n in range(-5, 510, 3 if f == "f" else 50)] * 2 + [("f", None), (None, 3)]
+    hits = spark.createDataFrame(at, "file string, line long")
+
+    def inner(file, line):
+        found = [(a, -b, n) for f, n, a, b in spans if None not in (f, a, b, file, line) and f == file != "h" and a <= line <= b]
+        return max(found)[2] if found else None
+
+    df = code.enclosing(hits, e)
+    assert Counter(map(tuple, df.collect())) == Counter((f, n, inner(f, n)) for f, n in at)
+    # a join on the file that compares lines besides would hold each line against each definition of its file
+    joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert joins and not any("<=" in x or ">=" in x for x in joins)
+
+
 def test_snapshots(spark):
     old = ent(spark, [{"file": "a", "name": n, "body_hash": b, "sig_hash": s} for n, b, s in [("same", "1", "1"), ("moved", "2", "2"), ("old", "3", "3"), ("gone", "4", "4"), ("edit", "5", "5")]])
     new = ent(spark, [{"file": f, "name": n, "body_hash": b, "sig_hash": s} for f, n, b, s in [("a", "same", "1", "1"), ("b", "moved", "2", "2"), ("a", "new", "3", "3"), ("a", "edit", "5x", "5"), ("a", "fresh", "6", "6")]])
