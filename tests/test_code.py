@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,32 @@ def test_history(spark):
     assert [(x["source_file"], x["target_file"], x["last_date"]) for x in history.cross_repo_cochange(e).collect()] == [("f", "g", "1970-01-01")]
 
 
+@pytest.mark.parametrize("pairs, events", [(1 << 20, 1 << 19), (200, 1 << 19), (200, 40)])
+def test_cross_repo_cochange_blocks(spark, monkeypatch, pairs, events):
+    """One block, several, and several in slabs of time, against every pair of events; pairs meet where they are made, not in a join."""
+    monkeypatch.setattr(history, "BLOCK_PAIRS", pairs)
+    monkeypatch.setattr(history, "BLOCK_EVENTS", events)
+    rng = random.Random(3)
+    rows = [(rng.choice(["r1", "r2", "é", None]), rng.choice(["f", "g", "h", "", None]), rng.choice([rng.randint(0, 40_000), 500, None])) for _ in range(300)] + [(None, "f", 99_999)]
+    want: dict = {}
+    for k, (r, f, t) in enumerate(rows):
+        for q, g, u in rows[:k]:
+            if None not in (r, q, t, u) and r != q and abs(t - u) <= 900:
+                (a, b), at = sorted([(r, f), (q, g)], key=lambda x: x[0]), max(t, u)
+                n, strength, last = want.get((*a, *b), (0, 0.0, 0))
+                want[*a, *b] = n + 1, strength + math.exp(-(99_999 - at) / 86_400 / 180), max(last, at)
+    df = history.cross_repo_cochange(spark.createDataFrame(rows, "repo string, file string, ts long"), 900, most=None, digits=6)
+    got = {tuple(x)[:4]: (x["frequency"], x["strength"], x["last_unix"]) for x in df.collect()}
+    assert len(got) == df.count() and {k: (v[0], v[2]) for k, v in got.items()} == {k: (v[0], v[2]) for k, v in want.items()}
+    assert all(math.isclose(v[1], want[k][1], abs_tol=1e-6) for k, v in got.items())
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    t = np.array(sorted(x[2] for x in rows if x[2] is not None))
+    for same, other in ((True, t), (False, t[::3])):
+        found = [p for i, j in history._windows(t, other, 900, same) for p in zip(i.tolist(), j.tolist())]
+        assert sorted(found) == [(i, j) for i in range(len(t)) for j in range(i + 1 if same else 0, len(other)) if abs(t[i] - other[j]) <= 900]
+    assert history.cross_repo_cochange(spark.createDataFrame([], "repo string, file string, ts long")).count() == 0
+
+
 def test_graph(spark):
     e = ent(spark, [{"file": "hub", "name": "x"}, {"file": "a", "name": "y"}])
     r = refr(spark, [("a", None, "x"), ("b", None, "x"), ("b", None, "y")])
