@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.chunks import checkpoint
@@ -13,13 +13,16 @@ SHARE, LEAST = 1000, 500
 
 
 def _with_least(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
-    """edges (a, b) with m, the least that low (a, m, n) has for a. The few hubs, whose number is bounded, are broadcast; so no
-    task gets all edges of one."""
-    hub = F.col("n") > max(LEAST, total // SHARE)
-    hubs = low.where(hub).select("a", F.col("m").alias("of_hub"))
-    tagged = edges.join(F.broadcast(hubs), "a", "left")
-    plain = tagged.where("of_hub is null").select("a", "b").join(low.where(~hub).select("a", "m"), "a")
-    return plain.select("a", "b", "m").unionByName(tagged.where("of_hub is not null").select("a", "b", F.col("of_hub").alias("m")))
+    """edges (a, b) with m, the least that low (a, m, n) has for a. The few hubs, whose number is bounded, are broadcast, and
+    their edges go to the tasks of b; so no task gets all edges of one."""
+    hubs = low.where(F.col("n") > max(LEAST, total // SHARE)).select("a", F.col("m").alias("of_hub"))
+    tagged = edges.join(F.broadcast(hubs), "a", "left").withColumn("at", F.when(F.col("of_hub").isNull(), F.col("a")).otherwise(F.col("b")))
+    joined = tagged.join(low.select(F.col("a").alias("at"), "m").hint("merge"), "at", "left")
+    return joined.select("a", "b", F.coalesce("of_hub", "m").alias("m"))
+
+
+def _both(first: Column, second: Column) -> Column:
+    return F.explode(F.array(first, second)).alias("e")
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -28,24 +31,33 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Large-star and small-star steps (Kiveris et al. 2014): each ties nodes to the least of their neighbours; the
     number of edges never grows, and a few rounds suffice for long chains. Least neighbours are found by partial
     aggregation and joined back, for hubs by broadcast, so a node with very many neighbours isn't gathered in one task. Every round is
-    checkpointed; the driver sees only counts. Null ends and loops are left out; an edge list may hold repeats.
-    Raises if ``rounds`` don't suffice, which would mean an error here.
+    checkpointed; the driver sees only counts. It ends when every node has one edge or only edges from such nodes; plans
+    are not adapted meanwhile, as each of the many steps would be told to listeners anew. Null ends and loops are left out; an edge
+    list may hold repeats. Raises if ``rounds`` don't suffice, which would mean an error here.
     """
+    spark = edges.sparkSession
     a, b = F.col("a").cast("long"), F.col("b").cast("long")
     at = checkpoint(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a is not null and b is not null and a != b").distinct())
-    seen, total = None, at.count()
-    for _ in range(rounds):
-        # large star: every larger neighbour of a node is tied to the least of the node and its neighbours
-        both = at.unionByName(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both, low, total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: a node and its smaller neighbours are tied to the least of these
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        pairs = _with_least(large, low, total).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        at = checkpoint(pairs.unionByName(low.select("a", F.col("m").alias("b"))).where("a != b").distinct())
-        state = at.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            roots = at.select(F.col("b").alias("a"), "b").distinct()
-            return at.unionByName(roots).select(F.col("a").alias("id"), F.col("b").alias("component"))
-        seen, total = state, state[0]
-    raise RuntimeError("components did not settle")
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for _ in range(rounds):
+            ends = at.select(_both(F.struct(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))).select("e.*")
+            nodes = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+            total, unsettled = nodes.agg(F.sum("up"), F.max((F.col("up") + F.when(F.col("up") > 0, F.col("down")).otherwise(0)) > 1)).first()
+            if not unsettled:
+                break
+            # large star: every larger neighbour of a node is tied to the least of the node and its neighbours
+            both = at.select(_both(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).select("e.*")
+            low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+            large = _with_least(both, low, total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            # small star: a node and its smaller neighbours are tied to the least of these
+            low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+            tied = _with_least(large, low, total).select(_both(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).select("e.*")
+            at = checkpoint(tied.where("a != b").distinct())
+        else:
+            raise RuntimeError("components did not settle")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    roots = at.select(F.col("b").alias("a"), "b").distinct()
+    return at.unionByName(roots).select(F.col("a").alias("id"), F.col("b").alias("component"))

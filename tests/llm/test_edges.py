@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import arrays, components, itq_dedup, katz, mixing, nn_descent, quality, substring_dedup, toxicity
+from lodestone.llm.chunks import checkpoint
 
 DOCS = "doc_id long, text string"
 
@@ -159,3 +160,16 @@ def test_factorisation_machine_against_every_pair():
     d, j = np.nonzero(x)
     want = [0.3 + fm.w @ r + sum(fm.v[a] @ fm.v[b] * r[a] * r[b] for a in range(size) for b in range(a)) for r in x]
     assert np.allclose(fm.raw(d, j, x[d, j], m)[0], want)
+
+
+def test_components_that_are_settled_take_no_round(spark, monkeypatch):
+    """Each round costs many tasks, and so the driver's listeners much; a round that only finds that nothing changes is left out."""
+    written = []
+    monkeypatch.setattr(components, "checkpoint", lambda df: written.append(1) or checkpoint(df))
+    stars = [(k, k // 10 * 10) for k in range(50)] + [(60, 61), (61, 60), (None, 1)]
+    for edges, most in ((stars, 1), ([(k, k + 1) for k in range(4)], 3), ([(1, 1)], 1)):
+        written.clear()
+        got = dict(map(tuple, components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+        assert got == ({k: k // 10 * 10 for k in range(50)} | {60: 60, 61: 60} if edges is stars else dict.fromkeys(range(5), 0) if len(edges) > 1 else {})
+        assert len(written) <= most
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
