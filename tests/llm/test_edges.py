@@ -173,3 +173,33 @@ def test_components_that_are_settled_take_no_round(spark, monkeypatch):
         assert got == ({k: k // 10 * 10 for k in range(50)} | {60: 60, 61: 60} if edges is stars else dict.fromkeys(range(5), 0) if len(edges) > 1 else {})
         assert len(written) <= most
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
+def made(spark, run):
+    """What run() returns, and the most rows that the joins and generators of one kind made, in all plans that it executed."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    ids = lambda: [e.executionId() for e in map(store.executionsList().apply, range(store.executionsCount()))]
+    before = set(ids())
+    out = run()
+    spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    counts = {}
+    for k in set(ids()) - before:
+        values, nodes = store.executionMetrics(k), store.planGraph(k).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            if re.search("Join|Generate", node.name()):
+                for m in map(node.metrics().apply, range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        kind = re.sub(r"#\d+L?", "", node.desc())
+                        counts[kind] = counts.get(kind, 0) + int(values.apply(m.accumulatorId()).replace(",", ""))
+    return out, max(counts.values(), default=0)
+
+
+@pytest.mark.parametrize("least", [500, 3])
+def test_components_make_a_row_for_an_edge(spark, monkeypatch, least):
+    """No step doubles the edges or computes them twice: a few large groups, each tied by several forests, with hubs dealt out and without."""
+    monkeypatch.setattr(components, "LEAST", least)
+    rng = np.random.default_rng(8)
+    edges = {(max(a, b), min(a, b)) for n in (600, 90) for _ in range(4) for a, b in ((1000 * n + k, 1000 * n + int(rng.integers(0, 1 + k // 50))) for k in range(1, n)) if a != b}
+    got, most = made(spark, lambda: dict(map(tuple, components.connected_components(spark.createDataFrame(sorted(edges), "a long, b long").repartition(3)).collect())))
+    assert got == {1000 * n + k: 1000 * n for n in (600, 90) for k in range(n)}
+    assert 0 < most <= 3 * len(edges), (most, len(edges))
