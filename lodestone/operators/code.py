@@ -136,7 +136,8 @@ def enclosing(hits: DataFrame, entities: DataFrame) -> DataFrame:
     """hits(file, line, ...) with the innermost definition around each: the one that starts last, null without any.
 
     Lines are cut into cells of 2^k lines, k from 0. A definition is put on the few cells that make it up, two of a size at
-    most, and a cell keeps the best of its own; a hit meets the one cell of each size that it lies in, by equality."""
+    most, and a cell keeps the best of its own; a hit meets the one cell of each size that it lies in, by equality. Both
+    joins merge: Spark takes cells and hits for as small as their files are, and would send all of them to the driver."""
     best = F.struct(F.col("line_start"), -F.col("line_end"), F.col("name"))
     spans = entities.where("kind != 'module' and line_start <= line_end")
     # a greatest long may stand for the end of a file; there are no lines beyond 2^62
@@ -150,9 +151,9 @@ def enclosing(hits: DataFrame, entities: DataFrame) -> DataFrame:
     sizes = spans.agg(F.max(F.length(F.bin(F.col("_r") - F.col("_l")))).alias("_n"))  # one row
     places = hits.select("file", F.col("line").cast("long").alias("line")).distinct().crossJoin(F.broadcast(sizes))
     each = places.select("file", "line", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k")).withColumn("_c", F.call_function("shiftright", F.col("line"), F.col("_k")))
-    found = each.join(held, (F.col("file") == F.col("_f")) & (each["_k"] == held["_k"]) & (each["_c"] == held["_c"]))
+    found = each.join(held.hint("merge"), (F.col("file") == F.col("_f")) & (each["_k"] == held["_k"]) & (each["_c"] == held["_c"]))
     inner = found.groupBy(F.col("file").alias("_f"), F.col("line").alias("_l")).agg(F.max("_s").alias("_s"))
-    return hits.join(inner, (F.col("file") == F.col("_f")) & (F.col("line") == F.col("_l")), "left").select(*hits.columns, F.col("_s.name").alias("entity"))
+    return hits.join(inner.hint("merge"), (F.col("file") == F.col("_f")) & (F.col("line") == F.col("_l")), "left").select(*hits.columns, F.col("_s.name").alias("entity"))
 
 
 def nearest_before(points: DataFrame, spans: DataFrame, gap: int = 2) -> DataFrame:
