@@ -133,6 +133,46 @@ def test_cross_repo_cochange_blocks(spark, monkeypatch, pairs, events):
     assert history.cross_repo_cochange(spark.createDataFrame([], "repo string, file string, ts long")).count() == 0
 
 
+@pytest.mark.parametrize("pairs, events, most", [(1 << 20, 1 << 21, 16), (20, 1 << 21, 16), (20, 10, 2)])
+def test_cross_repo_cochange_copies(spark, monkeypatch, pairs, events, most):
+    """Copies of changes count as often as they are there, in one group, in several and in slabs, but go to a block as one packed row."""
+    assert history._shape(6e6, 6e10)[0] <= 16  # an event was copied 339 times
+    for name, value in (("BLOCK_PAIRS", pairs), ("BLOCK_EVENTS", events), ("GROUPS", most)):
+        monkeypatch.setattr(history, name, value)
+    assert history._shape(80, 2000)[1] == (4 if most == 2 else 1)
+    rng = random.Random(7)
+    rows = [(rng.choice("abc"), rng.choice(["f", "g", None]), rng.randint(0, 9_000)) for _ in range(40)] * 2 + [("a", "f", 9_500)]
+    near = [(*sorted([p[:2], q[:2]], key=lambda x: x[0]), max(p[2], q[2])) for k, p in enumerate(rows) for q in rows[:k] if p[0] != q[0] and abs(p[2] - q[2]) <= 600]
+    want = Counter((*p, *q) for p, q, _ in near)
+    got = {tuple(x)[:4]: x for x in history.cross_repo_cochange(spark.createDataFrame(rows, "repo string, file string, ts long"), 600, most=None, digits=6).collect()}
+    assert {k: x["frequency"] for k, x in got.items()} == want
+    assert {k: x["last_unix"] for k, x in got.items()} == {(*p, *q): max(t for a, b, t in near if (a, b) == (p, q)) for p, q, _ in near}
+    for (*ends,), x in got.items():
+        assert math.isclose(x["strength"], sum(math.exp(-(9_500 - t) / 86_400 / 180) for p, q, t in near if [*p, *q] == ends), abs_tol=1e-6)
+
+
+def test_cross_repo_cochange_halves():
+    """Counters for every pair of files, sorted pairs of events, and files halved in between give what a plain count gives."""
+    rng = np.random.default_rng(1)
+
+    def some(first, files, size):
+        ts = np.sort(rng.integers(0, 3_000, size))
+        return history._Packed(first, files, first + rng.integers(0, files, size), ts, rng.integers(1, 4, size), np.exp(ts / 3_000))
+
+    x, y = some(0, 9, 120), some(9, 6, 80)
+    for a, b in ((x, x), (x, y), (y, x)):
+        want: dict = {}
+        for i in range(len(a.ts)):
+            for j in range(i + 1 if a is b else 0, len(b.ts)):
+                if abs(a.ts[i] - b.ts[j]) <= 100:
+                    key, n = (a.code[i], b.code[j]) if a is not b else tuple(sorted((a.code[i], a.code[j]))), a.n[i] * b.n[j]
+                    s, f, at = want.get(key, (0.0, 0, 0))
+                    want[key] = s + n * max(a.weight[i], b.weight[j]), f + n, max(at, a.ts[i], b.ts[j])
+        for limit in (1 << 20, 20, 1):
+            got = [r for out in history._tallied(a, b, 100, limit) for r in zip(*(c.tolist() for c in out))]
+            assert len(got) == len(want) and all(want[r[:2]][1:] == r[3:] and math.isclose(want[r[:2]][0], r[2]) for r in got)
+
+
 def test_graph(spark):
     e = ent(spark, [{"file": "hub", "name": "x"}, {"file": "a", "name": "y"}])
     r = refr(spark, [("a", None, "x"), ("b", None, "x"), ("b", None, "y")])
